@@ -13,6 +13,12 @@ from pricelore.functions import patterns as rx
 from pricelore.functions import text as tx
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its columns made once: filters on them stay above. Pushed down through many stages of array
+    expressions they would repeat those without end."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def _around(tokens: Column, i: Column, offset: int, field: str) -> Column:
     """A field of a neighbour; false beyond the ends."""
     at = i + offset
@@ -67,7 +73,7 @@ def token_info(lines: DataFrame, line_col: str = "line") -> DataFrame:
         return F.struct(*[t.getField(n).alias(n) for n in ("i", "token", "cleaned", "price", "year", "number", "thousands", "two_decimals", "currency", "dimension", "code")], unit.alias("unit"), near.alias("near_currency"), consumed(t, i).alias("consumed"))
 
     has_spans = F.exists("__spans", lambda x: x.getField("cross") | x.getField("label"))
-    return df.withColumn("__full", F.transform("toks", full)).withColumn("has_dimension_candidate", has_spans | F.exists("toks", lambda t: t.getField("dimension"))).withColumn("toks", F.col("__full")).drop("__full", "__spans")
+    return settled(df.withColumn("__full", F.transform("toks", full)).withColumn("has_dimension_candidate", has_spans | F.exists("toks", lambda t: t.getField("dimension"))).withColumn("toks", F.col("__full")).drop("__full", "__spans"))
 
 
 def line_info(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -102,10 +108,10 @@ def line_info(lines: DataFrame, line_col: str = "line") -> DataFrame:
     prices = F.filter("toks", lambda t: ~t.getField("consumed") & ~t.getField("unit") & t.getField("price") & ~t.getField("year") & tx.parse_price(t.getField("cleaned")).isNotNull())
     short = lambda t: (t.getField("code").rlike(rx.SHORT_GRADE) & ~F.col("code_label")) | F.col("__spec") & ~F.col("code_label") & (F.length(t.getField("code")) <= 5)
     codes = F.filter("toks", lambda t: ~t.getField("consumed") & ~t.getField("currency") & (t.getField("code") != "") & ~short(t) & tx.is_valid_code(t.getField("code")))
-    return df.withColumns({
+    return settled(df.withColumns({
         "price_candidates": F.transform(prices, lambda t: F.struct(_points(t, t.getField("near_currency")).alias("score"), t.getField("number").alias("value"), (-t.getField("i")).alias("minus_i"), t.getField("cleaned").alias("token"))),
         "code_candidates": F.transform(codes, lambda t: F.struct(F.length(t.getField("code")).alias("length"), (-t.getField("i")).alias("minus_i"), t.getField("code").alias("token"))),
-    }).drop("__dimension", "__spec").withColumnRenamed("__measure", "measure_context")
+    }).drop("__dimension", "__spec").withColumnRenamed("__measure", "measure_context"))
 
 
 def resolve_fields(info: DataFrame) -> DataFrame:
@@ -136,4 +142,4 @@ def parse_rows(info: DataFrame, line_col: str = "line") -> DataFrame:
         return F.when((part == "") | (at == 0), c).otherwise(F.concat(F.substring(c, F.lit(1), at - 1), F.lit(" "), F.substring(c, at + F.length(part), F.length(c))))
 
     name = without(without(F.col(line_col), F.col("code_raw")), F.col("price_raw"))
-    return df.withColumn("name", F.btrim(F.regexp_replace(name, r"\s{2,}", " "))).drop("__chosen")
+    return settled(df.withColumn("name", F.btrim(F.regexp_replace(name, r"\s{2,}", " "))).drop("__chosen"))

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pricelore.config import CONFIG
 from pricelore.functions import patterns as rx
 from pricelore.functions import text as tx
+from pricelore.operators.lines import settled
 
 #: A valid product code.
 valid = tx.is_valid_code(F.col("art_no"))
@@ -27,7 +28,7 @@ def discard_reason(rows: DataFrame) -> DataFrame:
         .when(F.col("dimension_line") & ~F.col("price_like"), "dimension_line")
         .otherwise("")
     )
-    return rows.withColumn("discard_reason", reason)
+    return settled(rows.withColumn("discard_reason", reason))
 
 
 def noise_class(rows: DataFrame) -> DataFrame:
@@ -57,7 +58,7 @@ def noise_class(rows: DataFrame) -> DataFrame:
         .when(~valid & price_like & ((alpha_tokens < 2) | (alpha_chars < 4) | (n_tokens <= 2) & F.col("has_currency")), "noise_price_only")
         .otherwise("")
     )
-    return rows.withColumn("noise_class", kind)
+    return settled(rows.withColumn("noise_class", kind))
 
 
 def is_dimension_only():
@@ -77,7 +78,7 @@ def hard_validation(rows: DataFrame) -> DataFrame:
         .when(~valid, "hard_art_no")
         .otherwise("")
     )
-    return rows.withColumn("hard_reason", reason)
+    return settled(rows.withColumn("hard_reason", reason))
 
 
 def score_rows(rows: DataFrame) -> DataFrame:
@@ -89,17 +90,17 @@ def score_rows(rows: DataFrame) -> DataFrame:
 
 def export_rows(rows: DataFrame) -> DataFrame:
     """exported, needs_review and notes of the rows that are neither discarded nor noise."""
-    df = score_rows(hard_validation(noise_class(discard_reason(rows)))).filter((F.col("discard_reason") == "") & (F.col("noise_class") == ""))
+    df = (score_rows(hard_validation(noise_class(discard_reason(rows))))).filter((F.col("discard_reason") == "") & (F.col("noise_class") == ""))
     hard = F.col("hard_reason") != ""
     keeps = valid & F.col("price").isNotNull()
     # A row with a valid code and a price is exported whatever soft doubts there are, and legal wording is one of those.
     blocked = hard & ~F.col("hard_reason").isin("hard_legal")
     notes = F.array_compact(F.array(F.when(hard, F.col("hard_reason")), F.when(F.col("price").isNull(), "missing_price_eur"), F.when(F.col("name") == "", "missing_product_name"), F.when(F.col("art_no") == "", "missing_art_no")))
-    return df.withColumns({
+    return settled(df.withColumns({
         "exported": ~blocked & (keeps | ~hard),
         "needs_review": F.when(blocked, True).when(keeps, False).otherwise(F.col("needs_review") | hard | F.col("price").isNull()),
         "notes": F.array_join(notes, "; "),
-    })
+    }))
 
 
 def row_score():
@@ -140,8 +141,12 @@ def marker_fields(lines: DataFrame) -> DataFrame:
     }).withColumns({
         "width_cm": tx.extract_dimension(F.col("size_raw"), "W"), "height_cm": tx.extract_dimension(F.col("size_raw"), "H"), "length_cm": tx.extract_dimension(F.col("size_raw"), "L"),
     })
-    last = lambda c: F.try_element_at(F.filter("__prices", lambda p: (p.getField("currency") == c) & p.getField("price").isNotNull()), F.lit(-1)).getField("price")
-    own = {f"price_{c.lower()}": F.when(F.exists("__prices", lambda p, c=c: (p.getField("currency") == c) & p.getField("price").isNotNull()), last(c)) for c in rx.ROW_CURRENCIES}
+
+    def last(currency: str):
+        priced = F.filter("__prices", lambda p: (p.getField("currency") == currency) & p.getField("price").isNotNull())
+        return F.try_element_at(priced, F.lit(-1)).getField("price")
+
+    own = {f"price_{c.lower()}": last(c) for c in rx.ROW_CURRENCIES}
     return out.withColumns(own).drop("__prices")
 
 

@@ -18,22 +18,42 @@ __all__ = ["oracle_sql", "queries"]
 KEY = ("source_file", "page_number", "line_no")
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def planned(f):
+    """f, with its plan made once for a session and folder: plans hold no data, but long ones take seconds to analyse."""
+
+    def own(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (f.__name__, spark.sparkContext.applicationId, id(spark), sf_dir)
+        if key not in _PLANS:
+            _PLANS[key] = f(spark, sf_dir)
+        return _PLANS[key]
+
+    return own
+
+
+@planned
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.line_info(catalog_lines(spark, sf_dir))
 
 
+@planned
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.parse_rows(info(spark, sf_dir))
 
 
+@planned
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.hard_validation(rw.noise_class(rw.discard_reason(parsed(spark, sf_dir))))
 
 
+@planned
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.export_rows(parsed(spark, sf_dir))
 
 
+@planned
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.page_signals(info(spark, sf_dir))
 
