@@ -11,8 +11,10 @@ from pricelore.functions import patterns as rx
 from pricelore.functions import text as tx
 from pricelore.operators.lines import settled
 
-#: A valid product code.
-valid = tx.is_valid_code(F.col("art_no"))
+
+def is_product():
+    """Whether a row has a valid product code."""
+    return tx.is_valid_code(F.col("art_no"))
 
 
 def discard_reason(rows: DataFrame) -> DataFrame:
@@ -44,18 +46,18 @@ def noise_class(rows: DataFrame) -> DataFrame:
     legend = F.col("legend_hits") >= 2
     small = F.array_max(F.transform("price_candidates", lambda c: c.getField("value"))) <= 3
     kind = (
-        F.when(~valid & F.col("toc_line"), "noise_toc_line")
-        .when(~valid & (title >= 2) & index_number & ~F.col("has_currency") & ~has_codes, "noise_index")
-        .when(~valid & (F.col("is_header") | legend), "noise_header_legend")
-        .when(valid & legend & (alpha_tokens < 2), "noise_header_legend")
-        .when(valid & F.col("has_currency") & (line.contains("€") | F.upper(line).contains("EUR")) & small, "noise_header_eur1")
-        .when(~valid & (low.contains("extra charge") | low.contains("treatment")) & (n_tokens >= 6), "noise_accessory_note")
-        .when(~valid & (low.contains("anti-stain") | low.contains("antistain")), "noise_accessory_note")
-        .when(~valid & line.rlike(r"(?i)\b(?:cat|category|sq\.?\s*m|sqm|mq)\b"), "noise_material_metric")
-        .when(~valid & (line.rlike(r"(?i)\b(?:peso|weight|volume)\b") | line.rlike(r"\bL[1-3]\b")), "noise_weight_dim")
+        F.when(~is_product() & F.col("toc_line"), "noise_toc_line")
+        .when(~is_product() & (title >= 2) & index_number & ~F.col("has_currency") & ~has_codes, "noise_index")
+        .when(~is_product() & (F.col("is_header") | legend), "noise_header_legend")
+        .when(is_product() & legend & (alpha_tokens < 2), "noise_header_legend")
+        .when(is_product() & F.col("has_currency") & (line.contains("€") | F.upper(line).contains("EUR")) & small, "noise_header_eur1")
+        .when(~is_product() & (low.contains("extra charge") | low.contains("treatment")) & (n_tokens >= 6), "noise_accessory_note")
+        .when(~is_product() & (low.contains("anti-stain") | low.contains("antistain")), "noise_accessory_note")
+        .when(~is_product() & line.rlike(r"(?i)\b(?:cat|category|sq\.?\s*m|sqm|mq)\b"), "noise_material_metric")
+        .when(~is_product() & (line.rlike(r"(?i)\b(?:peso|weight|volume)\b") | line.rlike(r"\bL[1-3]\b")), "noise_weight_dim")
         .when(codes >= 2, "noise_composition")
-        .when(~valid & (F.col("has_dimension_candidate") | F.col("dimension_line")) & ~price_like, "noise_dimension_block")
-        .when(~valid & price_like & ((alpha_tokens < 2) | (alpha_chars < 4) | (n_tokens <= 2) & F.col("has_currency")), "noise_price_only")
+        .when(~is_product() & (F.col("has_dimension_candidate") | F.col("dimension_line")) & ~price_like, "noise_dimension_block")
+        .when(~is_product() & price_like & ((alpha_tokens < 2) | (alpha_chars < 4) | (n_tokens <= 2) & F.col("has_currency")), "noise_price_only")
         .otherwise("")
     )
     return settled(rows.withColumn("noise_class", kind))
@@ -75,7 +77,7 @@ def hard_validation(rows: DataFrame) -> DataFrame:
         .when(F.col("is_header"), "header_like_strict")
         .when(F.col("art_no") == "", "missing_art_no")
         .when(F.col("art_no").rlike(r"^\d+$") & (F.col("dimension_line") | F.col("has_dimension_candidate")), "numeric_dimension_artno")
-        .when(~valid, "hard_art_no")
+        .when(~is_product(), "hard_art_no")
         .otherwise("")
     )
     return settled(rows.withColumn("hard_reason", reason))
@@ -92,7 +94,7 @@ def export_rows(rows: DataFrame) -> DataFrame:
     """exported, needs_review and notes of the rows that are neither discarded nor noise."""
     df = (score_rows(hard_validation(noise_class(discard_reason(rows))))).filter((F.col("discard_reason") == "") & (F.col("noise_class") == ""))
     hard = F.col("hard_reason") != ""
-    keeps = valid & F.col("price").isNotNull()
+    keeps = is_product() & F.col("price").isNotNull()
     # A row with a valid code and a price is exported whatever soft doubts there are, and legal wording is one of those.
     blocked = hard & ~F.col("hard_reason").isin("hard_legal")
     notes = F.array_compact(F.array(F.when(hard, F.col("hard_reason")), F.when(F.col("price").isNull(), "missing_price_eur"), F.when(F.col("name") == "", "missing_product_name"), F.when(F.col("art_no") == "", "missing_art_no")))
@@ -116,7 +118,7 @@ ORDER = ("page_number", "line_no")
 def dedup(rows: DataFrame) -> DataFrame:
     """Rows of a document and code ranked by score: the best stays; others become noise or real price conflicts."""
     w = Window.partitionBy("source_file", "art_no").orderBy(F.col("row_score").desc(), *ORDER)
-    df = rows.filter(valid).withColumn("row_score", row_score()).withColumn("dup_rank", F.row_number().over(w))
+    df = rows.filter(is_product()).withColumn("row_score", row_score()).withColumn("dup_rank", F.row_number().over(w))
     price_like = F.col("price_like") | F.col("price").isNotNull()
     verdict = F.when(F.col("dup_rank") == 1, "best").when(~price_like, "technical_sheet_line").when(F.col("is_header"), "header_noise_conflict").otherwise("real_price_conflict")
     return df.withColumn("dup_verdict", verdict)
@@ -125,7 +127,7 @@ def dedup(rows: DataFrame) -> DataFrame:
 def duplicate_conflicts(rows: DataFrame) -> DataFrame:
     """Codes of a document with more than one name and price. A missing price counts as a value of its own."""
     variant = F.struct(F.lower(F.btrim("name")), F.coalesce(F.col("price").cast("string"), F.lit("")))
-    return rows.filter(valid).groupBy("source_file", "art_no").agg(F.count("*").alias("n_rows"), F.countDistinct(variant).alias("n_variants")).filter("n_rows > 1")
+    return rows.filter(is_product()).groupBy("source_file", "art_no").agg(F.count("*").alias("n_rows"), F.countDistinct(variant).alias("n_variants")).filter("n_rows > 1")
 
 
 def marker_fields(lines: DataFrame) -> DataFrame:
