@@ -25,6 +25,8 @@ WORD_BUCKETS, GRAM_BUCKETS, GRAMS = 8192, 32_768, (3, 4, 5)
 #: The bound of the training sample: texts of each label, and the longest text among them, in characters.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1000, 30_000
 EPOCHS, BATCH, SEED = 6, 256, 7
+#: Batches in an epoch at least; the first has twice as many.
+STEPS = 40
 #: Embeddings learn faster by this factor, as their common scale slows most of them.
 EMBEDDING_RATE = 20
 #: Words whose inputs a worker keeps, and windows that it scores at once.
@@ -230,8 +232,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
         target = y[owner[pick]]
         share = {1.0: 0.5 / max(1, (target == 1).sum()), 0.0: 0.5 / max(1, (target == 0).sum())}
         weight = np.array([share[float(t)] for t in target], np.float32) * len(target)
-        rounds = 2 if epoch else 1
-        for _ in range(rounds * max(1, min(8, 6000 // max(1, len(pick))))):
+        for _ in range(max(1, -(-(STEPS if epoch else 2 * STEPS) * BATCH // len(pick)))):
             for a in range(0, len(pick), BATCH):
                 learn(pick[a : a + BATCH], target[a : a + BATCH], weight[a : a + BATCH], 0.01 if epoch < epochs - 2 else 0.003)
     # The bias at which the two kinds of texts are told apart best, by their highest windows.
