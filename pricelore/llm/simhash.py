@@ -4,6 +4,10 @@ Fingerprints go into an inverted index by the values of their bytes at fixed pos
 bits share at least five of their eight bytes, so pairs are held to that count before their bits are compared. A list for
 one byte would hold a 256th of all fingerprints; the lists are therefore keyed by three positions, all within the first or
 all within the last four bytes: of any five shared bytes, three lie in one half, so each such pair meets in a list.
+
+Few bits are a strict test: texts with a Jaccard similarity of 0.8 differ in about ten of 64. Where a similarity is asked for,
+sketches of minimum hashes find the pairs that fingerprints miss, in the same way: rows meet in lists by bands of minima,
+and all pairs of a list are held to the share of equal sketch bytes.
 """
 
 from __future__ import annotations
@@ -26,37 +30,84 @@ SHARED_BYTES = 8 - MOST_BITS
 KEYS = tuple(p for half in (range(4), range(4, 8)) for p in combinations(half, 3))
 #: A longer list is searched through lists of more positions.
 DENSE = 2048
+#: Minima in a sketch, of which one byte each is kept; the error of the estimated similarity is about 0.035 at 0.8.
+LANES = 128
+#: Bands of five minima each: texts of similarity 0.8 share one with probability 0.995, of 0.85 with 0.99995.
+BANDS, BAND_ROWS = 13, 5
+_RANDOM = np.random.default_rng(64)
+_ODD = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64)
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b) for b in range(256))
 
 
-def fingerprint(text: str, shingle_words: int = 3) -> int:
-    """The fingerprint of one text, unsigned; 0 if it has no words."""
+def shingle_hashes(text: str, shingle_words: int = 3) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; none if it has no words."""
     from xxhash import xxh64_intdigest
 
     words = text.encode().translate(_FOLD).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     n = max(1, len(words) - shingle_words + 1)
     shingles = map(b" ".join, zip(*[words[i:] for i in range(shingle_words)])) if len(words) >= shingle_words else [b" ".join(words)]
-    hashes = np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, n)
+    return np.fromiter((xxh64_intdigest(s, 42) for s in shingles), np.uint64, n)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
-    for at in range(0, n, 65_536):
+    for at in range(0, len(hashes), 65_536):
         bits = np.unpackbits(hashes[at : at + 65_536].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
         ones += bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+    return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: str, shingle_words: int = 3) -> int:
+    """The fingerprint of one text, unsigned; 0 if it has no words."""
+    return fingerprint_of(shingle_hashes(text, shingle_words))
+
+
+def minima_of(hashes: np.ndarray) -> np.ndarray:
+    """The smallest value of each lane over a text's shingles; all ones if it has none."""
+    low = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 256):
+        np.minimum(low, (hashes[None, at : at + 256] * _ODD[:, None] + _PLUS[:, None]).min(axis=1), out=low)
+    return low
+
 
+def sketch_of(minima: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """A byte of each minimum, and the key of each band."""
+    mixed = minima * np.uint64(0x9E3779B97F4A7C15)
+    bands = mixed[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for i in range(BAND_ROWS):
+        keys = (keys ^ (keys >> np.uint64(32)) ^ bands[:, i]) * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes(), keys
 
-def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """The kept columns and __fp, the fingerprint as a signed long."""
+
+def least_equal(similarity: float) -> int:
+    """Equal bytes of two sketches from which they count as similar: unequal minima share a byte once in 256."""
+    return round(LANES * (similarity + (1 - similarity) / 256))
+
+
+def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", shingle_words: int = 3, sketches: bool = False) -> DataFrame:
+    """The kept columns and __fp, the fingerprint as a signed long; with sketches, also __sketch and __bands."""
     kept = texts_of(df, text_col, *keep)
     fields = [f for f in kept.schema.fields if f.name != "__text"]
-    schema = T.StructType([*fields, T.StructField("__fp", T.LongType())])
+    more = [T.StructField("__sketch", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))] if sketches else []
+    schema = T.StructType([*fields, T.StructField("__fp", T.LongType()), *more])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle_words) for t in b.column(b.num_columns - 1).to_pylist()], np.uint64).view(np.int64)
-            yield batch_of(arrow, [*[b.column(i).cast(arrow.field(i).type) for i in range(len(fields))], pa.array(fps)])
+            fps, marks, bands = [], [], []
+            for t in b.column(b.num_columns - 1).to_pylist():
+                hashes = shingle_hashes(t, shingle_words)
+                fps.append(fingerprint_of(hashes))
+                if sketches:
+                    mark, keys = sketch_of(minima_of(hashes))
+                    marks.append(mark)
+                    bands.append(keys.view(np.int64))
+            fps = np.array(fps, np.uint64).view(np.int64)
+            yield batch_of(arrow, [*[b.column(i).cast(arrow.field(i).type) for i in range(len(fields))], pa.array(fps), *([marks, bands] if sketches else [])])
 
     return kept.mapInArrow(run, schema)
 
@@ -186,6 +237,58 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     return lists.select("__fp", "__key").mapInArrow(run, "a long, b long").distinct()
 
 
+def _similar(own: np.ndarray, least: int) -> np.ndarray:
+    """Labels of the sketches of one list: the place of the first member of each class. The search spreads from sketch to sketch
+    over those not reached yet, so every pair across two classes has been compared, and a group of copies costs one pass."""
+    label = np.arange(len(own))
+    rest = np.arange(len(own))
+    while len(rest) > 1:
+        first, rest, front = rest[0], rest[1:], rest[:1]
+        while len(front) and len(rest):
+            here, front = front[0], front[1:]
+            near = (own[rest] == own[here]).sum(axis=1, dtype=np.int32) >= least
+            label[rest[near]] = first
+            front = np.concatenate((front, rest[near]))
+            rest = rest[~near]
+    return label
+
+
+def sketch_links(distinct: DataFrame, similarity: float) -> DataFrame:
+    """Of distinct __node, __sketch and __bands: links a, b of nodes that share a band and whose sketches are similar.
+
+    A list gives fewer links than it has members. Its members are compared in one task; copies of a sketch have gone before.
+    """
+    least = least_equal(similarity)
+    lists = distinct.select("__node", "__sketch", F.explode("__bands").alias("__key")).repartition("__key").sortWithinPartitions("__key", "__node")
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        held: list[tuple] = []
+        now, nodes, marks = None, [], []
+
+        def close():
+            if len(nodes) > 1:
+                own = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, LANES)
+                label = _similar(own, least)
+                held.extend((nodes[label[i]], nodes[i]) for i in np.flatnonzero(label != np.arange(len(own))))
+
+        for b in batches:
+            for node, mark, key in zip(*(b.column(c).to_pylist() for c in range(3))):
+                if key != now:
+                    close()
+                    now, nodes, marks = key, [], []
+                nodes.append(node)
+                marks.append(mark)
+            if held:
+                yield batch_of(schema, [list(c) for c in zip(*held)])
+                held.clear()
+        close()
+        if held:
+            yield batch_of(schema, [list(c) for c in zip(*held)])
+
+    return lists.mapInArrow(run, "a long, b long").distinct()
+
+
 def components(edges: DataFrame, checkpoints: bool = True) -> DataFrame:
     """Of links a, b: node and root, the smallest node that it reaches, for each node that has a link.
 
@@ -219,23 +322,36 @@ def components(edges: DataFrame, checkpoints: bool = True) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, most_bits: int = MOST_BITS) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, most_bits: int = MOST_BITS, similarity: float | None = None) -> DataFrame:
     """One row for each row of df: its id, fingerprint (16 hex digits) and component_id, the smallest id that it reaches
-    over links of at most most_bits differing bits, itself included.
+    over links of at most most_bits differing bits, itself included. With a similarity, sets of shingles whose estimated Jaccard
+    similarity is that or more are linked as well.
 
     Null and empty texts have the fingerprint zero and are linked like any other. A null id gets the smallest id of its
     component too, null only where the component has no other. Repeated rows stay.
     """
-    fps = stored(fingerprints(df, (id_col,), text_col, shingle_words), "simhash")
-    firsts = fps.groupBy("__fp").agg(F.min(id_col).alias("__first"))
-    roots = components(links(firsts.select("__fp"), most_bits)).checkpoint()
-    smallest = roots.join(firsts, roots.node == firsts["__fp"]).groupBy("root").agg(F.min("__first").alias("__least"))
-    linked = roots.join(smallest, "root").select(F.col("node").alias("__node"), "__least")
-    labels = firsts.join(linked, firsts["__fp"] == linked["__node"], "left").select(F.col("__fp").alias("__f"), F.coalesce("__least", "__first").alias("component_id"))
-    return fps.join(labels, fps["__fp"] == labels["__f"]).select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, most_bits: int = MOST_BITS) -> DataFrame:
+    fps = stored(fingerprints(df, (id_col,), text_col, shingle_words, similarity is not None), "simhash")
+    if similarity is None:
+        fps = fps.withColumn("__node", F.col("__fp"))
+        edges = links(fps.select("__fp").distinct(), most_bits)
+    else:
+        fps = fps.withColumn("__node", F.xxhash64("__sketch"))
+        pairs = fps.select("__fp", "__node").distinct()
+        least = pairs.groupBy("__fp").agg(F.min("__node").alias("__least")).checkpoint()
+        of = lambda side: least.select(F.col("__fp").alias(side), F.col("__least").alias(f"__{side}"))
+        by_bits = links(least.select("__fp"), most_bits).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
+        same = pairs.join(least, "__fp").filter(F.col("__node") != F.col("__least")).select(F.col("__node").alias("a"), F.col("__least").alias("b"))
+        distinct = fps.groupBy("__node").agg(F.first("__sketch").alias("__sketch"), F.first("__bands").alias("__bands"))
+        edges = by_bits.unionByName(same).unionByName(sketch_links(distinct, similarity))
+    firsts = fps.groupBy("__node").agg(F.min(id_col).alias("__first"))
+    roots = components(edges).checkpoint()
+    smallest = roots.join(firsts, roots.node == firsts["__node"]).groupBy("root").agg(F.min("__first").alias("__least"))
+    linked = roots.join(smallest, "root").select(F.col("node").alias("__n"), "__least")
+    labels = firsts.join(linked, firsts["__node"] == linked["__n"], "left").select(F.col("__node").alias("__f"), F.coalesce("__least", "__first").alias("component_id"))
+    return fps.join(labels, fps["__node"] == labels["__f"]).select(id_col, F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, most_bits: int = MOST_BITS, similarity: float | None = 0.8) -> DataFrame:
     """df with one row of each group of near duplicates: the one with the smallest id. Columns stay as they are.
 
     Rows of equal ids count as one document, of which the text with the smallest hash stays, once. Rows with null ids stay:
@@ -243,7 +359,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     """
     tie = F.xxhash64(text_col)
     named = df.filter(F.col(id_col).isNotNull())
-    groups = near_duplicates(named.select(F.struct(F.col(id_col).alias("id"), tie.alias("tie")).alias("__id"), F.col(text_col).alias("__body")), "__id", "__body", shingle_words, most_bits)
+    bodies = named.select(F.struct(F.col(id_col).alias("id"), tie.alias("tie")).alias("__id"), F.col(text_col).alias("__body"))
+    groups = near_duplicates(bodies, "__id", "__body", shingle_words, most_bits, similarity)
     firsts = groups.filter(F.col("__id.id") == F.col("component_id.id")).groupBy(F.col("__id.id").alias("__i")).agg(F.min("__id.tie").alias("__t"))
     kept = named.withColumn("__tie", tie).join(firsts, (F.col(id_col) == F.col("__i")) & (F.col("__tie") == F.col("__t")), "left_semi")
     return kept.dropDuplicates([id_col, "__tie"]).drop("__tie").unionByName(df.filter(F.col(id_col).isNull()))
