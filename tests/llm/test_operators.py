@@ -192,3 +192,46 @@ def test_toxicity(spark):
     got = {r.doc_id: r for r in toxicity.score_toxicity(df, net).collect()}
     assert sum(got[i].predicted == y for i, (_, y) in enumerate(rows[600:])) >= 90 and 0 <= got[1000].score <= 1
     assert toxicity.train([], []).p["out"].any() == False  # noqa: E712
+
+
+def test_near_duplicates_by_similarity(spark, docs, empty):
+    rnd = random.Random(11)
+    base = [[rnd.choice("abcdefghijklmnop") + str(rnd.randint(0, 400)) for _ in range(300)] for _ in range(12)]
+    rows, jaccard = [], {}
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    for n, ws in enumerate(base):
+        rows.append((10 * n, " ".join(ws)))
+        for m, changes in enumerate((1, 3, 40), 1):
+            other = list(ws)
+            for at in rnd.sample(range(5, 295), changes):
+                other[at] = f"new{rnd.random()}"
+            a, b = shingles(ws), shingles(other)
+            jaccard[10 * n + m] = len(a & b) / len(a | b)
+            rows.append((10 * n + m, " ".join(other)))
+    df = spark.createDataFrame([*rows, (500, None), (501, ""), (502, rows[0][1])], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(df, shingle_words=5, similarity=0.8).collect()}
+    assert all(got[i] == i // 10 * 10 for i, j in jaccard.items() if j >= 0.9)
+    assert all(got[i] == i for i, j in jaccard.items() if j <= 0.65)
+    assert got[502] == 0 and got[500] == got[501] == 500
+    kept = {r.doc_id for r in simhash.keep_one(df).collect()}
+    assert kept == {i for i, c in got.items() if i == c}
+    assert simhash.keep_one(empty).count() == 0
+    assert simhash.keep_one(docs).filter("doc_id is null").count() == docs.filter("doc_id is null").count()
+
+
+def test_sketches_estimate_jaccard():
+    rnd = np.random.default_rng(5)
+    h = rnd.integers(0, 1 << 63, 900, dtype=np.uint64)
+    (a, ka), (b, kb) = (simhash.sketch_of(simhash.minima_of(x)) for x in (h[:500], h[20:520]))
+    assert abs(sum(x == y for x, y in zip(a, b)) / simhash.LANES - 480 / 520) < 0.12 and (ka == kb).any()
+    assert simhash._similar(np.frombuffer(a + a + bytes(simhash.LANES), np.uint8).reshape(3, -1), 100).tolist() == [0, 0, 2]
+
+
+def test_contexts_of_seeds_that_grow():
+    rnd = random.Random(2)
+    ws = [f"w{rnd.random()}".encode() for _ in range(200)]
+    _, at, around = substring.seeds_of(ws, stretch=1)
+    for length, want in ((8, False), (9, False), (10, True)):
+        _, at2, around2 = substring.seeds_of([b"x"] * 30 + ws[50 : 50 + length] + [b"y"] * 30, stretch=1)
+        i, j = list(at).index(50), list(at2).index(30)
+        assert substring.grows(around[i : i + 1], around2[j : j + 1])[0] == want
