@@ -235,3 +235,18 @@ def test_contexts_of_seeds_that_grow():
         _, at2, around2 = substring.seeds_of([b"x"] * 30 + ws[50 : 50 + length] + [b"y"] * 30, stretch=1)
         i, j = list(at).index(50), list(at2).index(30)
         assert substring.grows(around[i : i + 1], around2[j : j + 1])[0] == want
+
+
+def test_passages_with_a_rewritten_part_between(spark):
+    rnd = random.Random(21)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n, (left, gap, right) in enumerate([(60, 40, 60), (60, 50, 60), (28, 30, 60)] * 8):
+        a, b = own(left), own(right)
+        rows += [(2 * n, own(20) + a + own(gap) + b + own(20)), (2 * n + 1, own(20) + a + own(gap) + b + own(20))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.start_word, r.n_same) for r in substring.repeated_passages(df).collect()}
+    want = set()
+    for n, (left, gap, right) in enumerate([(60, 40, 60), (60, 50, 60), (28, 30, 60)] * 8):
+        want |= {(2 * n + 1, 20 + left + gap, right)} | ({(2 * n + 1, 20, left)} if left >= 50 else set())
+    assert got == want
