@@ -250,3 +250,11 @@ def test_passages_with_a_rewritten_part_between(spark):
     for n, (left, gap, right) in enumerate([(60, 40, 60), (60, 50, 60), (28, 30, 60)] * 8):
         want |= {(2 * n + 1, 20 + left + gap, right)} | ({(2 * n + 1, 20, left)} if left >= 50 else set())
     assert got == want
+
+
+def test_chains_after_a_long_passage():
+    long = [(x, x) for x in range(0, 700, 10)]
+    later = [(x, x + (5 if x >= 930 else 0)) for x in (900, 910, 920, 930, 940, 950)]
+    pairs = long + later
+    chains = substring.chains_of([x for x, _ in pairs], [y for _, y in pairs])
+    assert sorted(sorted(pairs[c] for c in chain) for chain in chains) == [long, later]
