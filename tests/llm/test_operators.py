@@ -258,3 +258,16 @@ def test_chains_after_a_long_passage():
     pairs = long + later
     chains = substring.chains_of([x for x, _ in pairs], [y for _, y in pairs])
     assert sorted(sorted(pairs[c] for c in chain) for chain in chains) == [long, later]
+
+
+def test_passages_with_every_eighth_word_replaced(spark):
+    rnd = random.Random(23)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for n in range(40):
+        passage = own(60)
+        changed = [f"new{rnd.random()}" if i % 8 == 4 else w for i, w in enumerate(passage)]
+        rows += [(2 * n, own(30) + passage + own(30)), (2 * n + 1, own(30) + changed + own(30))]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    got = {(r.doc_id, r.other_id) for r in substring.repeated_passages(df).collect()}
+    assert got <= {(2 * n + 1, 2 * n) for n in range(40)} and len(got) >= 38
