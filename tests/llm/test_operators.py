@@ -271,3 +271,23 @@ def test_passages_with_every_eighth_word_replaced(spark):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     got = {(r.doc_id, r.other_id) for r in substring.repeated_passages(df).collect()}
     assert got <= {(2 * n + 1, 2 * n) for n in range(40)} and len(got) >= 38
+
+
+def test_passages_of_frequent_lines(spark):
+    rnd = random.Random(25)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for n in range(20):
+        x, y = sorted(rnd.sample(range(2, 62), 2))
+        if n % 2:  # three lines, the first two or the last two of which stand in others
+            a, b, c = own(20), own(20), own(20)
+            parts, whole = (a + b, b + c), lambda: a + b + c
+        else:  # two lines with another word between
+            a, b = own(30), own(30)
+            parts, whole = (a, b), lambda: a + own(1) + b
+        for m in range(62):
+            middle = whole() if m in (x, y) else parts[m % 2]
+            rows.append((100 * n + m, own(20) + middle + own(20)))
+        want.add((100 * n + y, 100 * n + x))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    assert {(r.doc_id, r.other_id) for r in substring.repeated_passages(df).collect()} == want
