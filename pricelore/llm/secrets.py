@@ -1,8 +1,8 @@
 """Secrets in texts: three fixed kinds by pattern, and random strings by how badly a byte-pair vocabulary packs them.
 
 A vocabulary learned from prose needs about one token for three or more characters of words and names, but close to one
-for two characters of a random key. Digests of usual lengths, UUIDs, plain numbers and identifiers made of words are put
-aside before that test.
+for two characters of a random key. Digests of usual lengths, UUIDs, plain numbers and identifiers are put aside before that
+test; an identifier is one only if its parts, in lower case, take few tokens themselves.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
 #: Words, in any of the usual ways of joining them, with a number after a word at most.
 IDENTIFIER = re.compile(r"[A-Z]?[a-z]*(?:[0-9]{0,4}[_/+=-]+[A-Z]?[a-z]*|[A-Z][a-z]{2,})*[0-9]{0,4}\Z|[A-Z]*(?:[_/+=-]+[A-Z]*)*[0-9]{0,4}\Z|[0-9_/+=-]+\Z")
+#: The word parts of an identifier.
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Characters a token under which a run counts as random.
 CHARS_PER_TOKEN = 2.2
 
@@ -57,14 +59,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def random_spans(text: str, encode, chars_per_token: float = CHARS_PER_TOKEN, digests: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """Runs of key characters that take many tokens, without known digests (listed ones, and any of a digest's form)
-    and identifiers. The run is the leftmost longest, in code points."""
+    and identifiers, whose word parts take few. The run is the leftmost longest, in code points."""
     out = []
     for m in RUN.finditer(text):
         run = m.group().strip("=-_/+")
-        if not any(c.isdigit() for c in run) or run.isdigit() or len(run) < 20:
+        if run.isdigit() or len(run) < 20:
             continue
-        if run in digests or DIGEST.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run) or IDENTIFIER.match(run):
+        if run in digests or DIGEST.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run):
             continue
+        if IDENTIFIER.match(run):
+            parts = [x.lower() for x in PART.findall(run)]
+            if sum(map(len, parts)) >= chars_per_token * sum(len(encode(x)) for x in parts):
+                continue
         if len(run) < chars_per_token * len(encode(run)):
             out.append((m.start(), 3, m.end()))
     return out

@@ -291,3 +291,15 @@ def test_passages_of_frequent_lines(spark):
         want.add((100 * n + y, 100 * n + x))
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
     assert {(r.doc_id, r.other_id) for r in substring.repeated_passages(df).collect()} == want
+
+
+def test_secrets_of_letters_alone():
+    encode = secrets.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
+    rnd = random.Random(27)
+    found = lambda run: bool(secrets.random_spans(f"a {run} b", encode))
+    low = "abcdefghijklmnopqrstuvwxyz"
+    for letters in (low, low.upper(), low + low.upper()):
+        for tail in ("", "7241"):
+            assert sum(found("".join(rnd.choice(letters) for _ in range(24)) + tail) for _ in range(100)) >= 97
+    for name in ("getUserAccountSettingsByIdentifier", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS_2024", "internationalization_of_documents", "com/example/service/implementation", "2024-01-02_03-04-05-000000"):
+        assert not found(name)
