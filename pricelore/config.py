@@ -33,6 +33,8 @@ class EngineConfig:
     unique_ratio_min: float = 0.15
     key_rate_min: float = 0.5
     sample_cap: int = 200
+    text_len_min: int = 80
+    table_numeric_ratio_min: float = 0.2
 
 
 CONFIG = EngineConfig()

@@ -86,9 +86,17 @@ def currency_choice(lines: DataFrame, fallback: str = CONFIG.target_currency) ->
     return counts.withColumns({"target_currency": F.when(several & (F.col("eur") > 0), "EUR").otherwise(detected), "filter_currency": several})
 
 
+def _suits_marker():
+    return (F.col("marker_score") >= CONFIG.marker_score_min) & (F.col("art_no_count") >= CONFIG.marker_count_min) & (F.col("rrp_count") >= CONFIG.marker_count_min)
+
+
+def _suits_code_price():
+    return (F.col("code_price_score") >= CONFIG.code_price_score_min) & (F.col("price_count") >= CONFIG.price_count_min)
+
+
 def triage(lines: DataFrame) -> DataFrame:
-    """Scores of the three ways to read a document, and the way that suits it: the marker format, tables, or lines of
-    codes and prices. Of equal scores the earlier way holds."""
+    """Scores of two ways to read a document by its text alone, and the way that suits it: the marker format, or lines of codes
+    and prices. Of equal scores the earlier way holds. triage_with_tables also knows tables."""
     count = lambda p: F.sum(F.regexp_count("line", F.lit(p)))
     signals = lines.groupBy("source_file").agg(
         count(r"(?i)\bart\.?\s*no\.?").alias("art_no_count"), count(r"(?i)\brrp\b").alias("rrp_count"), count(r"(?i)\bcolli\b").alias("colli_count"),
@@ -99,8 +107,7 @@ def triage(lines: DataFrame) -> DataFrame:
         "marker_score": 2 * F.col("rrp_count") + 2 * F.col("art_no_count") + F.col("colli_count") + F.col("designer_count"),
         "code_price_score": 2 * (F.col("code_count") + F.col("description_count")) + F.col("price_label_count") + F.col("price_count") + F.col("currency_count"),
     })
-    marker = (F.col("marker_score") >= CONFIG.marker_score_min) & (F.col("art_no_count") >= CONFIG.marker_count_min) & (F.col("rrp_count") >= CONFIG.marker_count_min)
-    code_price = (F.col("code_price_score") >= CONFIG.code_price_score_min) & (F.col("price_count") >= CONFIG.price_count_min)
+    marker, code_price = _suits_marker(), _suits_code_price()
     profile = (
         F.when((F.col("art_no_count") >= 20) & (F.col("rrp_count") >= 20), "marker")
         .when(marker & (~code_price | (F.col("marker_score") >= F.col("code_price_score"))), "marker")
@@ -110,6 +117,37 @@ def triage(lines: DataFrame) -> DataFrame:
     return signals.withColumns({"profile": profile, "support_score": F.greatest("marker_score", "code_price_score")})
 
 
+def triage_with_tables(lines: DataFrame, tables: DataFrame) -> DataFrame:
+    """triage with the third way, tables, by the table_metrics of the documents' pages; and the decision whether a document
+    can be read: OK, FORSE (perhaps) or NO."""
+    texts = lines.groupBy("source_file").agg(
+        F.countDistinct("page_number").alias("n_pages"), F.sum(F.length("line")).alias("chars"), F.count("*").alias("n_lines"),
+        F.sum(F.regexp_count("line", F.lit("€"))).alias("euro_count"),
+    )
+    texts = texts.select("source_file", "n_pages", "euro_count", (F.col("chars") + F.col("n_lines") - F.col("n_pages")).alias("text_len"))
+    wide = tables.groupBy("source_file").agg(F.max("n_columns").alias("columns"), F.sum("numeric_line_ratio").alias("ratios"))
+    df = triage(lines).drop("profile", "support_score").join(texts, "source_file").join(wide, "source_file", "left")
+    # A page without words counts as one without columns.
+    df = df.withColumns({"table_columns": F.coalesce("columns", F.lit(0)), "numeric_line_ratio": F.coalesce("ratios", F.lit(0.0)) / F.col("n_pages")}).drop("columns", "ratios", "n_pages")
+    enough = F.col("table_columns") >= CONFIG.table_columns_min
+    df = df.withColumn("table_score", F.when(enough, F.col("table_columns")).otherwise(0) + 5.0 * F.col("numeric_line_ratio"))
+    ways = (("marker", _suits_marker(), "marker_score"), ("table_based", enough & (F.col("table_score") >= CONFIG.table_score_min), "table_score"), ("code_price_based", _suits_code_price(), "code_price_score"))
+    best = F.greatest(*[F.when(suits, F.col(score).cast("double")).otherwise(-1.0) for _, suits, score in ways])
+    forced = F.when((F.col("art_no_count") >= 20) & (F.col("rrp_count") >= 20), "marker")
+    profile = F.coalesce(forced, *[F.when(suits & (F.col(score) == best), name) for name, suits, score in ways], F.lit("unknown"))
+    df = df.withColumns({"profile": profile, "support_score": F.greatest(*[F.col(score).cast("double") for _, _, score in ways])})
+    signal = F.greatest("art_no_count", "rrp_count", "price_count", "code_count", "description_count", "support_score") > 0
+    weak = (F.col("profile") == "table_based") & (F.greatest("price_count", "euro_count", "currency_count") < 1) & (F.col("numeric_line_ratio") < CONFIG.table_numeric_ratio_min)
+    decision = (
+        F.when((F.col("text_len") < CONFIG.text_len_min) & ~signal, "NO")
+        .when(weak, "FORSE")
+        .when(F.col("profile") != "unknown", "OK")
+        .when(signal, "FORSE")
+        .otherwise("NO")
+    )
+    return df.withColumn("decision", decision)
+
+
 def table_metrics(words: DataFrame, x_bin: int = 20, y_bin: int = 5, min_hits: int = 10) -> DataFrame:
     """Of words with positions: a page's table columns (bins of x with enough words) and the share of its lines (bins of y)
     that have numbers in two such columns or more."""

@@ -117,6 +117,7 @@ def queries():
         "marker_fields": lambda a, d: rw.marker_fields(c(a, d)).drop("line"),
         "currency_filter": lambda a, d: rw.currency_filter(rw.marker_fields(c(a, d))).select(*KEY, "price_dkk", "price_sek", "price_nok", "price_eur"),
         "triage_scores": lambda a, d: pg.triage(c(a, d)),
+        "triage_decisions": lambda a, d: pg.triage_with_tables(c(a, d), pg.table_metrics(words(a, d))),
         "corpus_groups": lambda a, d: rp.corpus_groups(s(a, d), pg.triage(c(a, d))),
         "missing_labels": lambda a, d: rp.missing_labels(c(a, d), known_words(a, d)),
         "code_patterns": lambda a, d: rp.code_patterns(r(a, d)),

@@ -45,6 +45,18 @@ def test_contents_page(spark):
     assert hard.toc_hard and soft.toc_like and not soft.toc_hard
 
 
+def test_triage_with_tables(spark):
+    lines = [("table", 1, i, f"{i} {i + 1} {i + 2} {i + 3}") for i in range(12)] + [("weak", 1, i, "a b c d e f g") for i in range(12)]
+    lines += [("marker", 1, i, "Art. no. 1 RRP EUR 10") for i in range(20)] + [("short", 1, 0, "x"), ("prose", 1, 0, "EUR 5 " + "word " * 30)]
+    df = spark.createDataFrame(lines, "source_file string, page_number int, line_no int, line string")
+    words = [(d, p, w, 40.0 * x, 10.0 * n) for d, p, n, line in lines for x, w in enumerate(line.split(" "))]
+    tables = pg.table_metrics(spark.createDataFrame(words, "source_file string, page_number int, text string, x0 double, top double"))
+    got = {r.source_file: (r.profile, r.table_columns, r.table_score, r.decision) for r in pg.triage_with_tables(df, tables).collect()}
+    assert got["table"] == ("table_based", 4, 9.0, "OK") and got["weak"] == ("table_based", 7, 7.0, "FORSE")
+    assert got["marker"][0] == "marker" and got["marker"][3] == "OK"
+    assert got["short"] == ("unknown", 0, 0.0, "NO") and got["prose"] == ("unknown", 0, 0.0, "FORSE")
+
+
 def test_sample_counts(spark):
     df = pg.sample_counts(spark.createDataFrame([(40,), (150,), (350,), (900,)], "n_pages long")).orderBy("n_pages")
     assert [r.n_sample for r in df.collect()] == [8, 8, 8, 9]
