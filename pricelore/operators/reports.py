@@ -18,7 +18,8 @@ def price_summary(rows: DataFrame) -> DataFrame:
 
 
 def parser_metrics(rows: DataFrame) -> DataFrame:
-    """How well a document was read, from 0 rows on; and the score by which ways to read it compete."""
+    """How well a document was read, from 0 rows on; and a score of it that leaves conflicts of codes out. run_scores gives the
+    one by which ways to read a document compete."""
     out = rows.groupBy("source_file").agg(
         F.count("*").alias("n_rows"), F.countDistinct(F.when(F.col("art_no") != "", F.col("art_no"))).alias("n_codes"),
         F.sum(((F.col("art_no") != "") & F.col("price").isNotNull()).cast("int")).alias("n_key"), F.sum(F.col("needs_review").cast("int")).alias("n_review"),
@@ -30,6 +31,16 @@ def parser_metrics(rows: DataFrame) -> DataFrame:
     return out.withColumns({"run_score": score, "ok": ok})
 
 
+def run_scores(rows: DataFrame, duplicates: DataFrame) -> DataFrame:
+    """parser_metrics with the rate of conflicting codes among exported rows, and its term in the score. `duplicates` are the
+    duplicate_conflicts of the rows."""
+    exported = rows.groupBy("source_file").agg(F.count_if("exported").alias("n_exported"))
+    conflicts = duplicates.filter("n_variants > 1").groupBy("source_file").agg(F.count("*").alias("n_conflicts"))
+    df = parser_metrics(rows).join(exported, "source_file").join(conflicts, "source_file", "left").withColumn("n_conflicts", F.coalesce("n_conflicts", F.lit(0)))
+    df = df.withColumn("duplicate_conflicts_rate", F.when(F.col("n_exported") > 0, F.col("n_conflicts") / F.col("n_exported")).otherwise(0.0))
+    return df.withColumn("run_score", F.col("run_score") - 0.8 * F.col("duplicate_conflicts_rate")).drop("n_exported")
+
+
 def review_reasons(rows: DataFrame) -> DataFrame:
     """The notes of rows that need review or aren't exported, most frequent first."""
     notes = rows.filter("needs_review OR NOT exported").select(F.explode(F.split("notes", "; ")).alias("note")).filter("note <> ''")

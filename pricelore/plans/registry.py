@@ -113,6 +113,7 @@ def queries():
         "dedup_best": lambda a, d: rw.dedup(x(a, d)).select(*KEY, "art_no", "row_score", "dup_rank", "dup_verdict"),
         "duplicate_conflicts": lambda a, d: rw.duplicate_conflicts(x(a, d)),
         "parser_metrics": lambda a, d: rp.parser_metrics(x(a, d)),
+        "run_scores": lambda a, d: rp.run_scores(x(a, d), rw.duplicate_conflicts(x(a, d))),
         "currency_detect": lambda a, d: pg.currency_choice(c(a, d)),
         "marker_fields": lambda a, d: rw.marker_fields(c(a, d)).drop("line"),
         "currency_filter": lambda a, d: rw.currency_filter(rw.marker_fields(c(a, d))).select(*KEY, "price_dkk", "price_sek", "price_nok", "price_eur"),

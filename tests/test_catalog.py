@@ -2,6 +2,7 @@
 
 from pricelore.operators import lines as ln
 from pricelore.operators import pages as pg
+from pricelore.operators import reports as rp
 from pricelore.operators import rows as rw
 from pricelore.sources.catalog import page_lines, parse_page_range
 
@@ -57,6 +58,14 @@ def test_triage_with_tables(spark):
     assert got["short"] == ("unknown", 0, 0.0, "NO") and got["prose"] == ("unknown", 0, 0.0, "FORSE")
 
 
+def test_run_scores(spark):
+    rows = [("d", "AB1234", "Chair", 10.0, True, True), ("d", "AB1234", "Chair", 12.0, True, True), ("d", "CD5678", "Sofa", 9.0, True, True), ("d", "CD5678", "sofa ", 9.0, False, True), ("e", "EF9012", "Lamp", 3.0, True, False), ("f", "GH3456", "Rug", 3.0, False, True), ("f", "GH3456", "Mat", 3.0, False, True)]
+    df = spark.createDataFrame(rows, "source_file string, art_no string, name string, price double, exported boolean, needs_review boolean")
+    got = {r.source_file: (r.n_conflicts, r.duplicate_conflicts_rate, r.run_score) for r in rp.run_scores(df, rw.duplicate_conflicts(df)).collect()}
+    assert got["d"][:2] == (1, 1 / 3) and abs(got["d"][2] - (1 + 0.6 * 0.5 - 0.5 - 0.8 / 3)) < 1e-9
+    assert got["e"][:2] == (0, 0.0) and got["f"][:2] == (1, 0.0)
+
+
 def test_sample_counts(spark):
     df = pg.sample_counts(spark.createDataFrame([(40,), (150,), (350,), (900,)], "n_pages long")).orderBy("n_pages")
     assert [r.n_sample for r in df.collect()] == [8, 8, 8, 9]
