@@ -354,13 +354,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, most_bits: int = MOST_BITS, similarity: float | None = 0.8) -> DataFrame:
     """df with one row of each group of near duplicates: the one with the smallest id. Columns stay as they are.
 
-    Rows of equal ids count as one document, of which the text with the smallest hash stays, once. Rows with null ids stay:
-    they can't be told apart.
+    Rows of equal id and text stay once; of rows of the smallest id with different texts in a group, the one with the smallest hash
+    stays. Each group keeps a row, so an id whose texts are in several groups may stay more than once. Rows with null ids
+    stay: they can't be told apart.
     """
     tie = F.xxhash64(text_col)
     named = df.filter(F.col(id_col).isNotNull())
     bodies = named.select(F.struct(F.col(id_col).alias("id"), tie.alias("tie")).alias("__id"), F.col(text_col).alias("__body"))
     groups = near_duplicates(bodies, "__id", "__body", shingle_words, most_bits, similarity)
-    firsts = groups.filter(F.col("__id.id") == F.col("component_id.id")).groupBy(F.col("__id.id").alias("__i")).agg(F.min("__id.tie").alias("__t"))
+    # The smallest id and tie of each group: a row of each, whatever other groups keep of the same id.
+    firsts = groups.filter(F.col("__id") == F.col("component_id")).select(F.col("__id.id").alias("__i"), F.col("__id.tie").alias("__t")).distinct()
     kept = named.withColumn("__tie", tie).join(firsts, (F.col(id_col) == F.col("__i")) & (F.col("__tie") == F.col("__t")), "left_semi")
     return kept.dropDuplicates([id_col, "__tie"]).drop("__tie").unionByName(df.filter(F.col(id_col).isNull()))

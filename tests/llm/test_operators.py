@@ -303,3 +303,11 @@ def test_secrets_of_letters_alone():
             assert sum(found("".join(rnd.choice(letters) for _ in range(24)) + tail) for _ in range(100)) >= 97
     for name in ("getUserAccountSettingsByIdentifier", "MAXIMUM_CONNECTION_TIMEOUT_SECONDS_2024", "internationalization_of_documents", "com/example/service/implementation", "2024-01-02_03-04-05-000000"):
         assert not found(name)
+
+
+def test_keep_one_leaves_a_row_of_each_group(spark):
+    rnd = random.Random(29)
+    for n in range(4):
+        a, b = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(2))
+        df = spark.createDataFrame([(1, a), (2, a), (1, b), (7, b), (None, b)], "doc_id long, text string")
+        assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(df).collect()) == sorted([(1, a), (1, b), (0, b)])
