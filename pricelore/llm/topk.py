@@ -2,8 +2,10 @@
 
 Within a block of vectors each component is quantised to levels, and the vectors that share a component's level are one
 posting segment. A query takes segments by descending impact, the level times its own component, and adds the quantised
-impact to its members' scores. What a vector can still gain or lose, through segments not yet seen and through
-quantisation, is bounded; when the bounds prove that few vectors can be among the best, those are scored again exactly.
+impact to its members' scores. Each vector also has the squared length of what its scores leave out: components of segments not
+yet taken, and what quantisation cuts off. By Cauchy and Schwarz that length times the query's bounds what is missing from the
+score. Exact scores of the rows that lead give a floor for the k-th best, and so do the blocks that a task has answered before;
+when the bounds prove that few vectors reach the floor, those are scored again exactly.
 """
 
 from __future__ import annotations
@@ -18,9 +20,13 @@ from .common import batch_of
 
 SCALE = 1024
 #: Levels on each side of zero.
-LEVELS = 24
+LEVELS = 8
+#: Times that the bounds are held against the floor, at most, while a query takes all segments of a block.
+CHECKS = 10
+#: Rows are scored again once at most one in so many can still be among the best: that is quicker than going on.
+RESCORE = 16
 #: Vectors in one index. Bytes of queries in one broadcast; more queries make more passes over the table.
-BLOCK_ROWS, QUERY_BYTES = 16_384, 8_000_000
+BLOCK_ROWS, QUERY_BYTES = 16_384, 32_000_000
 
 
 class ImpactIndex:
@@ -28,57 +34,60 @@ class ImpactIndex:
 
     def __init__(self, vectors: np.ndarray, levels: int = LEVELS):
         self.vectors = vectors
-        n, self.dims = vectors.shape
-        self.top = np.maximum(np.abs(vectors).max(axis=0), 1) if n else np.ones(self.dims, np.int64)
-        step = self.top / levels
+        n, dims = vectors.shape
+        top = np.maximum(np.abs(vectors).max(axis=0), 1) if n else np.ones(dims, np.int64)
+        step = top / levels
         level = np.rint(vectors / step).astype(np.int16)
         order = np.argsort(level, axis=0, kind="stable").astype(np.int32)
-        self.segments: list[list[tuple[int, np.ndarray]]] = []
-        for d in range(self.dims):
+        self.length2 = (vectors.astype(float) ** 2).sum(axis=1)
+        of, value = [], []
+        #: Of each segment: its rows, and by how much taking it changes the squares of what the scores leave out.
+        self.rows: list[np.ndarray] = []
+        self.change: list[np.ndarray] = []
+        for d in range(dims):
             rows = order[:, d]
             own = level[rows, d]
             cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if n else np.zeros(1, np.int64)
-            self.segments.append([(int(own[a]), rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-        self.step = step
-        # All segments in one list: component, level as a value, its rows.
-        flat = [(d, v * step[d], rows) for d in range(self.dims) for v, rows in self.segments[d] if v]
-        self.of = np.array([d for d, _, _ in flat], np.int64)
-        self.value = np.array([v for _, v, _ in flat], float)
-        self.rows = [r for _, _, r in flat]
-
-    def best(self, query: np.ndarray, k: int, without: np.ndarray | None = None) -> np.ndarray:
-        """Rows that may be among the k of highest score: all that are, and few others. Rows in `without` take no part."""
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if own[a]:
+                    x, v = vectors[rows[a:b], d].astype(float), own[a] * step[d]
+                    of.append(d)
+                    value.append(v)
+                    self.rows.append(rows[a:b])
+                    self.change.append((x - v) ** 2 - x**2)
+        self.of, self.value = np.array(of, np.int64), np.array(value, float)
+
+    def best(self, query: np.ndarray, k: int, without: np.ndarray | None = None, floor: float = -np.inf) -> np.ndarray:
+        """Rows that may be among the k of highest score and reach the floor: all that are, and few others. Rows in `without`
+        take no part."""
         n = len(self.vectors)
         if n <= 4 * k:
             rows = np.arange(n)
             return rows if without is None else rows[~without]
         weight = query.astype(float)
-        impact = np.abs(self.value * weight[self.of])
-        order = np.argsort(-impact, kind="stable")
+        adds = self.value * weight[self.of]
+        order = np.argsort(-np.abs(adds), kind="stable").tolist()
+        adds = adds.tolist()
         score = np.zeros(n)
+        left = self.length2.copy()
         if without is not None:
             score[without] = -np.inf
-        # A level stands for values half a step around it.
-        blur = float((np.abs(weight) * self.step).sum() / 2)
-        # Once the segments before a place in the order are taken, a component can still give its largest one from there on.
-        after, left, total = np.zeros(len(order) + 1), np.zeros(self.dims), 0.0
-        for at in range(len(order) - 1, -1, -1):
-            d = self.of[order[at]]
-            total += impact[order[at]] - left[d]
-            left[d] = impact[order[at]]
-            after[at] = total
-        check = max(8, len(order) // 24)
-        for at, s in enumerate(order.tolist()):
-            score[self.rows[s]] += self.value[s] * weight[self.of[s]]
-            if (at + 1) % check == 0 or at + 1 == len(order):
-                slack = after[at + 1] + blur + 1e-6 * (1 + abs(after[at + 1]))
-                kth = np.partition(score, n - k)[n - k]
-                if kth == -np.inf:
-                    return np.flatnonzero(score > -np.inf)
-                possible = score >= kth - 2 * slack
-                if possible.sum() <= 4 * k or at + 1 == len(order):
-                    return np.flatnonzero(possible & (score > -np.inf))
-        return np.flatnonzero(score > -np.inf)
+        length = float(np.sqrt(weight @ weight))
+        check = max(1, -(-len(order) // CHECKS))
+        for at in range(0, max(1, len(order)), check):
+            for s in order[at : at + check]:
+                rows = self.rows[s]
+                score[rows] += adds[s]
+                left[rows] += self.change[s]
+            lead = np.argpartition(score, n - k)[n - k :]
+            lead = lead[score[lead] > -np.inf]
+            if len(lead) == k:
+                floor = max(floor, float((self.vectors[lead] @ query).min()))
+            missing = length * np.sqrt(np.maximum(left, 0.0))
+            possible = score + missing * (1 + 1e-6) + 1e-3 >= floor
+            if possible.sum() <= max(4 * k, n // RESCORE):
+                break
+        return np.flatnonzero(possible & (score > -np.inf))
 
 
 def _whole(vector, scale: int):
@@ -114,39 +123,42 @@ def _query_blocks(queries: DataFrame, id_col: str, vector_col: str, scale: int,
 
 def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, scale: int = SCALE, block_rows: int = BLOCK_ROWS, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """query_id, rank, vec_id and score: for each query the k rows of df of the highest integer inner products, ties to
-    the smaller id; all, if there are fewer.
+    the smaller id; all, if there are fewer. An empty table, or no query, gives no rows.
 
     Rows that are null, have a null id or hold null or non-finite components take no part. A vector shorter than another
-    counts as filled up with zeros. A query is not compared with rows of its own id; repeated rows are each ranked, repeated
-    queries count once. Products are exact while they stay within a long. Queries reach the executors in blocks of bounded size,
-    and every block of the table is indexed where it lies; what is shuffled are k rows at most for a query and a block.
+    counts as filled up with zeros. A query is not compared with rows of its own id; repeated rows are each ranked. Of queries with
+    equal ids the one with the smallest vector, in the order of arrays, counts. Products are exact while they stay within a long.
+    Queries reach the executors in blocks of bounded size, and every block of the table is indexed where it lies; what
+    is shuffled are k rows at most for a query and a task. Other columns are not looked at.
     """
     context = df.sparkSession.sparkContext
+    asking = queries.select(F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.col(f"`{vector_col}`").alias("__vector")).filter(F.col("__id").isNotNull() & F.col("__vector").isNotNull())
+    asking = asking.filter(F.forall("__vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))).groupBy("__id").agg(F.min("__vector").alias("__vector"))
     passes = []
-    for block in _query_blocks(queries.dropDuplicates([id_col]), id_col, vector_col, scale, query_bytes):
+    for block in _query_blocks(asking, "__id", "__vector", scale, query_bytes):
         shared = context.broadcast(block)
 
         def run(batches, shared=shared):
             schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
             query_ids, query_vectors = shared.value
+            place = {i: at for at, i in enumerate(query_ids.tolist())}
+            #: Of each query the best rows of the blocks before: ids and scores.
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in place]
 
-            def answered(ids, vectors):
+            def answer(ids, vectors):
                 dims = max(query_vectors.shape[1], *map(len, vectors), 1)
                 ids, own = np.array(ids, np.int64), _padded(vectors, dims)
                 index = ImpactIndex(own)
                 asked = _padded(list(query_vectors), dims)
-                q, v, s = [], [], []
-                inside = set(ids.tolist())
-                for i, query in zip(query_ids.tolist(), asked):
-                    rows = index.best(query, k, ids == i if i in inside else None)
-                    exact = own[rows] @ query
-                    best = np.lexsort((ids[rows], -exact))[:k]
-                    q.append(np.full(len(best), i))
-                    v.append(ids[rows][best])
-                    s.append(exact[best])
-                return batch_of(schema, [pa.array(np.concatenate(x).astype(np.int64)) for x in (q, v, s)])
-
-            ids, vectors = [], []
+                inside = place.keys() & set(ids.tolist())
+                for i, at in place.items():
+                    v, s = held[at]
+                    rows = index.best(asked[at], k, ids == i if i in inside else None, s[-1] if len(s) == k else -np.inf)
+                    v, s = np.concatenate((v, ids[rows])), np.concatenate((s, own[rows] @ asked[at]))
+                    best = np.lexsort((v, -s))[:k]
+                    held[at] = v[best], s[best]
+
+            ids, vectors, some = [], [], False
             for b in batches:
                 for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     v = _whole(v, scale)
@@ -154,12 +166,17 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
                         ids.append(i)
                         vectors.append(v)
                 while len(ids) >= block_rows:
-                    yield answered(ids[:block_rows], vectors[:block_rows])
-                    ids, vectors = ids[block_rows:], vectors[block_rows:]
+                    answer(ids[:block_rows], vectors[:block_rows])
+                    ids, vectors, some = ids[block_rows:], vectors[block_rows:], True
             if ids:
-                yield answered(ids, vectors)
-
-        passes.append(df.select(F.col(id_col).cast("bigint"), vector_col).mapInArrow(run, "query_id long, vec_id long, score long"))
+                answer(ids, vectors)
+                some = True
+            for at in range(0, len(held) if some else 0, 5_000):
+                part = held[at : at + 5_000]
+                own = np.repeat(query_ids[at : at + 5_000], [len(v) for v, _ in part])
+                yield batch_of(schema, [pa.array(own), pa.array(np.concatenate([v for v, _ in part])), pa.array(np.concatenate([s for _, s in part]))])
+
+        passes.append(df.select(F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.col(f"`{vector_col}`").alias("__vector")).mapInArrow(run, "query_id long, vec_id long, score long"))
     if not passes:
         return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     found = passes[0]
