@@ -1,11 +1,12 @@
 """Exact top-k by inner product over an impact-ordered index, score at a time.
 
-Within a block of vectors each component is quantised to levels, and the vectors that share a component's level are one
-posting segment. A query takes segments by descending impact, the level times its own component, and adds the quantised
-impact to its members' scores. Each vector also has the squared length of what its scores leave out: components of segments not
-yet taken, and what quantisation cuts off. By Cauchy and Schwarz that length times the query's bounds what is missing from the
-score. Exact scores of the rows that lead give a floor for the k-th best, and so do the blocks that a task has answered before;
-when the bounds prove that few vectors reach the floor, those are scored again exactly.
+Within a block of vectors each component is quantised to levels of one width, and the postings of a level, the rows and
+components that have it on either side of zero, are one segment. Segments are taken by descending level, for many queries at
+once: each adds its postings' quantised impacts to their rows' scores. Each row also has the squared length of what its
+scores leave out: components of segments not yet taken, and what quantisation cuts off. By Cauchy and Schwarz that length times
+the query's bounds what is missing from a score. Exact scores of the rows that lead give a floor for the k-th best, and so do
+the blocks that a task has answered before; once the bounds prove that few rows reach the floor, a query stops, and those
+rows are scored again exactly.
 """
 
 from __future__ import annotations
@@ -20,74 +21,68 @@ from .common import batch_of
 
 SCALE = 1024
 #: Levels on each side of zero.
-LEVELS = 8
-#: Times that the bounds are held against the floor, at most, while a query takes all segments of a block.
-CHECKS = 10
-#: Rows are scored again once at most one in so many can still be among the best: that is quicker than going on.
-RESCORE = 16
+LEVELS = 10
+#: A query stops when at most one row in so many can still be among the best: to score those again is quicker than to go on.
+RESCORE = 48
+#: Queries that go through a block's segments together.
+TOGETHER = 128
 #: Vectors in one index. Bytes of queries in one broadcast; more queries make more passes over the table.
 BLOCK_ROWS, QUERY_BYTES = 16_384, 32_000_000
 
 
 class ImpactIndex:
-    """Posting segments of a block of integer vectors."""
+    """Segments of a block of integer vectors."""
 
     def __init__(self, vectors: np.ndarray, levels: int = LEVELS):
-        self.vectors = vectors
-        n, dims = vectors.shape
-        top = np.maximum(np.abs(vectors).max(axis=0), 1) if n else np.ones(dims, np.int64)
-        step = top / levels
-        level = np.rint(vectors / step).astype(np.int16)
-        order = np.argsort(level, axis=0, kind="stable").astype(np.int32)
+        self.vectors, self.levels = vectors, levels
+        n = len(vectors)
+        self.step = max(1, int(np.abs(vectors).max())) / levels if vectors.size else 1.0
+        self.level = np.rint(vectors / self.step).astype(np.int8)
         self.length2 = (vectors.astype(float) ** 2).sum(axis=1)
-        of, value = [], []
-        #: Of each segment: its rows, and by how much taking it changes the squares of what the scores leave out.
-        self.rows: list[np.ndarray] = []
-        self.change: list[np.ndarray] = []
-        for d in range(dims):
-            rows = order[:, d]
-            own = level[rows, d]
-            cuts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if n else np.zeros(1, np.int64)
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                if own[a]:
-                    x, v = vectors[rows[a:b], d].astype(float), own[a] * step[d]
-                    of.append(d)
-                    value.append(v)
-                    self.rows.append(rows[a:b])
-                    self.change.append((x - v) ** 2 - x**2)
-        self.of, self.value = np.array(of, np.int64), np.array(value, float)
-
-    def best(self, query: np.ndarray, k: int, without: np.ndarray | None = None, floor: float = -np.inf) -> np.ndarray:
-        """Rows that may be among the k of highest score and reach the floor: all that are, and few others. Rows in `without`
-        take no part."""
+        self.longest = float(np.sqrt(self.length2.max())) if n else 0.0
+
+    def segment(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """The level's postings as a matrix of impacts, and by how much they change the square of what scores leave out."""
+        at = np.abs(self.level) == level
+        value = np.where(at, self.level * self.step, 0.0)
+        change = np.where(at, value * (value - 2.0 * self.vectors), 0.0).sum(axis=1)
+        return value.astype(np.float32), change
+
+    def best(self, queries: np.ndarray, k: int, floors: np.ndarray, without: list[tuple[int, np.ndarray]]):
+        """Of each query its place and the rows that may be among the k of highest score and reach its floor: all that are, and few
+        others. Rows paired with a query in `without` take no part for it."""
         n = len(self.vectors)
-        if n <= 4 * k:
-            rows = np.arange(n)
-            return rows if without is None else rows[~without]
-        weight = query.astype(float)
-        adds = self.value * weight[self.of]
-        order = np.argsort(-np.abs(adds), kind="stable").tolist()
-        adds = adds.tolist()
-        score = np.zeros(n)
-        left = self.length2.copy()
-        if without is not None:
-            score[without] = -np.inf
-        length = float(np.sqrt(weight @ weight))
-        check = max(1, -(-len(order) // CHECKS))
-        for at in range(0, max(1, len(order)), check):
-            for s in order[at : at + check]:
-                rows = self.rows[s]
-                score[rows] += adds[s]
-                left[rows] += self.change[s]
-            lead = np.argpartition(score, n - k)[n - k :]
-            lead = lead[score[lead] > -np.inf]
-            if len(lead) == k:
-                floor = max(floor, float((self.vectors[lead] @ query).min()))
-            missing = length * np.sqrt(np.maximum(left, 0.0))
-            possible = score + missing * (1 + 1e-6) + 1e-3 >= floor
-            if possible.sum() <= max(4 * k, n // RESCORE):
-                break
-        return np.flatnonzero(possible & (score > -np.inf))
+        weights, floors = queries.astype(np.float32), floors.astype(float)
+        lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+        # Scores are of single precision: what that may cost comes on top of the bounds.
+        blur = 1e-5 * lengths * self.longest + 1e-3
+        score = np.zeros((len(queries), n), np.float32)
+        for q, rows in without:
+            score[q, rows] = -np.inf
+        left, live = self.length2.copy(), np.arange(len(queries))
+        for level in range(self.levels, 0, -1) if n > 4 * k else ():
+            impacts, change = self.segment(level)
+            score += weights[live] @ impacts.T
+            left += change
+            if level > self.levels // 2:
+                continue
+            missing = np.sqrt(np.maximum(left, 0.0)).astype(np.float32)
+            lead = np.argpartition(score, n - k, axis=1)[:, n - k :]
+            sure = np.isfinite(np.take_along_axis(score, lead, axis=1)).all(axis=1)
+            for at in np.flatnonzero(sure):
+                floors[live[at]] = max(floors[live[at]], float((self.vectors[lead[at]] @ queries[live[at]]).min()))
+            bound = score + lengths[live].astype(np.float32)[:, None] * (missing * np.float32(1 + 1e-5))[None, :]
+            possible = bound >= (floors[live] - blur[live])[:, None]
+            few = possible.sum(axis=1) <= max(4 * k, n // RESCORE)
+            if level == 1:
+                few[:] = True
+            for at in np.flatnonzero(few):
+                yield int(live[at]), np.flatnonzero(possible[at])
+            live, score = live[~few], score[~few]
+            if not len(live):
+                return
+        for at in range(len(live)):
+            yield int(live[at]), np.flatnonzero(score[at] > -np.inf)
 
 
 def _whole(vector, scale: int):
@@ -151,12 +146,15 @@ def top_k(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col:
                 index = ImpactIndex(own)
                 asked = _padded(list(query_vectors), dims)
                 inside = place.keys() & set(ids.tolist())
-                for i, at in place.items():
-                    v, s = held[at]
-                    rows = index.best(asked[at], k, ids == i if i in inside else None, s[-1] if len(s) == k else -np.inf)
-                    v, s = np.concatenate((v, ids[rows])), np.concatenate((s, own[rows] @ asked[at]))
-                    best = np.lexsort((v, -s))[:k]
-                    held[at] = v[best], s[best]
+                without = [(place[i], np.flatnonzero(ids == i)) for i in inside]
+                for at in range(0, len(held), TOGETHER):
+                    floors = np.array([s[-1] if len(s) == k else -np.inf for _, s in held[at : at + TOGETHER]], float)
+                    mine = [(q - at, rows) for q, rows in without if at <= q < at + TOGETHER]
+                    for q, rows in index.best(asked[at : at + TOGETHER], k, floors, mine):
+                        v, s = held[at + q]
+                        v, s = np.concatenate((v, ids[rows])), np.concatenate((s, own[rows] @ asked[at + q]))
+                        best = np.lexsort((v, -s))[:k]
+                        held[at + q] = v[best], s[best]
 
             ids, vectors, some = [], [], False
             for b in batches:
