@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 
@@ -43,9 +44,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all machines share; one of our own only where that is unset."""
+    """The folder in spark.checkpoint.dir, which all machines share; one of our own only where that is unset and Spark runs in one
+    process."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = tempfile.mkdtemp(prefix="pricelore-")
         spark.conf.set("spark.checkpoint.dir", where)
     context = spark.sparkContext
@@ -94,6 +98,9 @@ def unpack(body: bytes, types: tuple[str | int, ...]) -> list[np.ndarray]:
 
 
 def released(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of steps whose results are stored: it does once their plans are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark delete the shuffle files of steps whose results are stored: it does once their plans are collected, which takes
+    more than one round, as plans are let go here first and there later."""
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)

@@ -227,14 +227,20 @@ def test_sketches_estimate_jaccard():
     assert simhash._similar(np.frombuffer(a + a + bytes(simhash.LANES), np.uint8).reshape(3, -1), 100).tolist() == [0, 0, 2]
 
 
-def test_contexts_of_seeds_that_grow():
+def test_contexts_of_seeds():
     rnd = random.Random(2)
     ws = [f"w{rnd.random()}".encode() for _ in range(200)]
-    _, at, around = substring.seeds_of(ws, stretch=1)
-    for length, want in ((8, False), (9, False), (10, True)):
-        _, at2, around2 = substring.seeds_of([b"x"] * 30 + ws[50 : 50 + length] + [b"y"] * 30, stretch=1)
-        i, j = list(at).index(50), list(at2).index(30)
-        assert substring.grows(around[i : i + 1], around2[j : j + 1])[0] == want
+    _, at, around = substring.seeds_of(ws, 4, stretch=1)
+    for before, after in ((0, 0), (0, 1), (0, 2), (3, 4), (4, 4), (9, 9)):
+        other = [b"x"] * 30 + ws[50 - before : 54 + after] + [b"y"] * 30
+        _, at2, around2 = substring.seeds_of(other, 4, stretch=1)
+        i, j = list(at).index(50), list(at2).index(30 + before)
+        got = int(substring.agreement(around[i : i + 1], around2[j : j + 1])[0])
+        assert (got >> 4, got >> 1 & 7) == (min(before, 4), min(after, 4)) and not got & 1
+        assert substring.promises([(50, 30)], {(50, 30): got}, 4, 50) == (4 + min(before, 4) + min(after, 4) >= 10)
+    _, at2, around2 = substring.seeds_of([b"x"] * 30 + ws[50:100] + [b"y"] * 30, 4, stretch=1)
+    got = substring.agreement(around[list(at).index(50)][None], around2[list(at2).index(30)][None])[0]
+    assert got & 1 and substring.promises([(50, 30)], {(50, 30): int(got)}, 4, 50)
 
 
 def test_passages_with_a_rewritten_part_between(spark):
