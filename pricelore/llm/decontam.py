@@ -7,21 +7,25 @@ length of the longest run that ends there and stands in some item is known. Runs
 from __future__ import annotations
 
 import hashlib
+import pickle
 import re
 from collections.abc import Iterable
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import batch_of, texts_of
+from .common import batch_of, stored, texts_of
 
 WINDOW = 10
-#: Item words in one automaton, some 100 MB. More items make more automata, which are broadcast and used one after another.
+#: Item words in one automaton, some 100 MB. More items make more automata, which are used one after another.
 BLOCK_WORDS = 200_000
+#: Automata that are broadcast for one pass over the documents, and bytes of texts that a task holds while it goes through them.
+BLOCKS_AT_ONCE, HELD_BYTES = 8, 32_000_000
 
 #: A-Z to lower case; digits, letters and what is not ASCII stay; all else separates words.
 _FOLD = bytes((b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20) for b in range(256))
@@ -175,36 +179,70 @@ def contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] =
     """The kept columns with n_words, n_hit, n_items, items_sha256, contaminated, spans (hit words, [from, to) each)
     and clean: the text without its spans, null where nothing is hit.
 
-    A null text has no words; an item without words has no windows, one of fewer words than a window is one as a whole.
-    Items of the same id count once. Rows stand for themselves. With no items nothing is hit.
+    A null or empty text has no words; an item without words has no windows, one of fewer words than a window is one as a whole.
+    Items of the same id count once. Rows stand for themselves, repeated ones too; of other columns only the kept ones are looked at.
+    With no items nothing is hit, and no documents give no rows. BLOCKS_AT_ONCE automata are broadcast at a time; for more, what has
+    been found so far is stored and goes through the table again.
     """
-    shared = [docs.sparkSession.sparkContext.broadcast(a) for a in _blocks(benchmark, item_col, item_text_col, window, block_words)]
+    spark = docs.sparkSession
     kept = texts_of(docs, text_col, *keep)
     fields = [f for f in kept.schema.fields if f.name != "__text"]
     span = T.ArrayType(T.ArrayType(T.IntegerType(), False), False)
-    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("spans", span), ("clean", T.StringType())))])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            words = [words_of(t) for t in texts]
-            spans: list[list[tuple[int, int]]] = [[] for _ in words]
-            names: list[set[str]] = [set() for _ in words]
-            for block in shared:
-                automaton = block.value
-                for i, w in enumerate(words):
-                    more, items = automaton.match(w)
-                    if more:
-                        spans[i] = _merged(spans[i] + more)
-                        names[i].update(automaton.names[k] for k in items)
-                if len(shared) > 1:
-                    block.__dict__.pop("_value", None)  # one automaton in memory at a time
+    before = [T.StructField("__text", T.StringType()), T.StructField("__spans", span), T.StructField("__names", T.ArrayType(T.StringType()))]
+    after = [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("n_hit", T.LongType()), ("n_items", T.LongType()), ("items_sha256", T.StringType()), ("contaminated", T.BooleanType()), ("spans", span), ("clean", T.StringType()))]
+    rows = kept.select(*[F.col(f"`{f.name}`") for f in fields], "__text", F.array().cast("array<array<int>>").alias("__spans"), F.array().cast("array<string>").alias("__names"))
+
+    def passed(rows: DataFrame, blocks: list, last: bool) -> DataFrame:
+        shared = [spark.sparkContext.broadcast(pickle.dumps(a, protocol=5)) for a in blocks]
+        schema = T.StructType([*fields, *(after if last else before)])
+        arrow = to_arrow_schema(schema)
+
+        def finished(own: list, texts: list[str], spans: list, names: list) -> pa.RecordBatch:
+            if not last:
+                return batch_of(arrow, [*own, texts, spans, [sorted(n) for n in names]])
             hits = [sum(z - a for a, z in s) for s in spans]
             shas = [hashlib.sha256(",".join(sorted(n)).encode()).hexdigest() for n in names]
-            yield batch_of(arrow, [*[b.column(i).cast(arrow.field(i).type) for i in range(len(fields))], [len(w) for w in words], hits, [len(n) for n in names], shas, [h > 0 for h in hits], spans, [remove_spans(t, s) if s else None for t, s in zip(texts, spans)]])
-
-    return kept.mapInArrow(run, schema)
+            return batch_of(arrow, [*own, [len(words_of(t)) for t in texts], hits, [len(n) for n in names], shas, [h > 0 for h in hits], spans, [remove_spans(t, s) if s else None for t, s in zip(texts, spans)]])
+
+        def run(batches):
+            only = pickle.loads(shared[0].value) if len(shared) == 1 else None
+            for held in _gathered(batches, 0 if len(shared) < 2 else HELD_BYTES):
+                texts = [held[k].column(len(fields)).to_pylist() for k in range(len(held))]
+                words = [[words_of(t) for t in ts] for ts in texts]
+                spans = [[[tuple(s) for s in x] for x in b.column(len(fields) + 1).to_pylist()] for b in held]
+                names = [[set(x) for x in b.column(len(fields) + 2).to_pylist()] for b in held]
+                for block in shared:  # one automaton in memory at a time
+                    automaton = only or pickle.loads(block.value)
+                    for k, ws in enumerate(words):
+                        for i, w in enumerate(ws):
+                            more, items = automaton.match(w)
+                            if more:
+                                spans[k][i] = _merged(spans[k][i] + more)
+                                names[k][i].update(automaton.names[j] for j in items)
+                for k, b in enumerate(held):
+                    yield finished([b.column(i).cast(arrow.field(i).type) for i in range(len(fields))], texts[k], spans[k], names[k])
+
+        return rows.mapInArrow(run, schema)
+
+    todo = _blocks(benchmark, item_col, item_text_col, window, block_words)
+    blocks = list(islice(todo, BLOCKS_AT_ONCE))
+    while len(more := list(islice(todo, BLOCKS_AT_ONCE))):
+        rows = stored(passed(rows, blocks, False), "contamination")
+        blocks = more
+    return passed(rows, blocks, True)
+
+
+def _gathered(batches, least_bytes: int):
+    """Lists of batches that hold so many bytes of texts together."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size >= least_bytes:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def remove_spans(text: str, spans: list) -> str:

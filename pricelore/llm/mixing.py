@@ -54,23 +54,33 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (1, 2, 3), total_shar
     return ranked.select("source", "source_size", F.when(capped, F.col("__cap")).otherwise(F.col("__fit.__level") * F.col("__w")).alias("target"))
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), total_share: float = 1.0, most: int = MOST_EPOCHS) -> DataFrame:
-    """df's rows with size, source_size, target (of the row's source) and taken: the words that the mix takes of the row,
-    repeats counted. Columns of those names are replaced.
+#: What mix() returns beside the given columns.
+MADE = ("size", "source_size", "target", "taken", "copies")
 
-    `weight` is a positive column, the document's quality (default: 1); null or not positive counts as the smallest
+
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weight: Column | None = None, weights: tuple[float, ...] = (1, 2, 3), total_share: float = 1.0, most: int = MOST_EPOCHS, size: Column | None = None, tie: Column | None = None) -> DataFrame:
+    """df's rows with size, source_size, target (of the row's source), taken: the words that the mix takes of the row,
+    repeats counted, and copies: how often it takes the row. Columns of those names are replaced.
+
+    `weight` is a column, the document's quality (default: 1); null or not positive counts as the smallest
     weight. A row is taken whole: the epochs that its source's target holds, and once more if the middle of its words
     comes before the rest of the target runs out in the order of keys. So a source misses its target by half of one row's
-    words at most. A row without words takes part with size 0. A null id has the key of an empty string; rows of
-    equal ids are ordered by a digest of their texts. A source of which no row has words has the target 0.
+    words at most. A row without words, null or empty, takes part with size 0. A null id has the key of an empty string; rows of
+    equal ids are ordered by a digest of their texts, and of equal texts it does not matter which. A source of which no row has words
+    has the target 0; an empty table gives no rows. `size` and `tie` stand in for the words and the digest of the text, where the
+    caller has them already.
     """
-    given = [c for c in df.columns if c not in ("size", "source_size", "target", "taken")]
+    given = [c for c in df.columns if c not in MADE]
+    names = [f"__c{i}" for i in range(len(given))]
     quality = F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(1e-6))
-    key = -F.ln(unit_of(F.coalesce(F.col(id_col).cast("string"), F.lit("")))) / quality
-    rows = df.select(*given, size_of(F.col(text_col)).alias("size"), key.alias("__key"), F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("")).alias("__tie"))
-    rows = rows.withColumn("__bucket", F.least(F.floor((F.lit(1.0) - F.exp(-F.col("__key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")).withColumn("__s", F.col(source_col))
+    key = -F.ln(unit_of(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))) / quality
+    size = size_of(F.col(f"`{text_col}`")) if size is None else size
+    tie = F.coalesce(F.md5(F.col(f"`{text_col}`").cast("binary")), F.lit("")) if tie is None else tie
+    bucket = F.least(F.floor((F.lit(1.0) - F.exp(-key)) * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
+    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(given, names)], F.col(f"`{id_col}`").alias("__id"), F.col(f"`{source_col}`").alias("__s"), key.alias("__key"), bucket.alias("__bucket"), size.alias("__size"), tie.alias("__tie"))
     # One row for each source and bucket: no more than BUCKETS a source, whatever the number of documents.
-    cells = rows.groupBy(F.col("__s").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("size").alias("words"))
+    cells = rows.groupBy(F.col("__s").alias("source"), F.col("__bucket").alias("bucket")).agg(F.sum("__size").alias("words"))
+    cells = stored(cells, "mix-cells")
     sources = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), weights, total_share, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("bigint")
     sources = sources.withColumn("epochs", epochs).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -78,14 +88,15 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     cells = cells.withColumn("upto", F.sum("words").over(upto)).join(sources.select(F.col("source").alias("s"), "rest"), F.col("source").eqNullSafe(F.col("s")))
     # The bucket in which the rest runs out: all before it is taken, none after it.
     edge = cells.filter(F.col("upto") >= F.col("rest")).groupBy("source").agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
-    plan = sources.join(edge.select(F.col("source").alias("s"), "edge"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("__source"), "source_size", "target", "epochs", "rest", F.coalesce(F.col("edge.bucket"), F.lit(BUCKETS)).alias("__edge"), F.coalesce(F.col("edge.before"), F.lit(0)).alias("__before"))
+    plan = sources.join(edge.select(F.col("source").alias("s"), "edge"), F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("epochs").alias("__epochs"), F.col("rest").alias("__rest"), F.coalesce(F.col("edge.bucket"), F.lit(BUCKETS)).alias("__edge"), F.coalesce(F.col("edge.before"), F.lit(0)).alias("__before"))
     # Read back from storage the plan's size is known, so it is broadcast only if it is under the session's limit.
-    plan = stored(plan, "mix-plan")
-    rows = rows.join(plan, F.col("__s").eqNullSafe(F.col("__source")))
+    rows = rows.join(stored(plan, "mix-plan"), F.col("__s").eqNullSafe(F.col("__source")))
     whole = rows.filter(F.col("__bucket") != F.col("__edge")).withColumn("__more", (F.col("__bucket") < F.col("__edge")).cast("int"))
-    order = Window.partitionBy("__s").orderBy("__key", id_col, "__tie").rowsBetween(Window.unboundedPreceding, -1)
-    edges = rows.filter(F.col("__bucket") == F.col("__edge")).withColumn("__more", (F.col("__before") + F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 < F.col("rest")).cast("int"))
-    return whole.unionByName(edges).select(*given, "size", "source_size", "target", (F.col("size") * (F.col("epochs") + F.col("__more"))).alias("taken"), (F.col("epochs") + F.col("__more")).cast("int").alias("copies"))
+    order = Window.partitionBy("__s").orderBy("__key", "__id", "__tie").rowsBetween(Window.unboundedPreceding, -1)
+    edges = rows.filter(F.col("__bucket") == F.col("__edge")).withColumn("__more", (F.col("__before") + F.coalesce(F.sum("__size").over(order), F.lit(0)) + F.col("__size") / 2 < F.col("__rest")).cast("int"))
+    copies = F.col("__epochs") + F.col("__more")
+    made = (F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * copies).alias("taken"), copies.cast("int").alias("copies"))
+    return whole.unionByName(edges).select(*[F.col(n).alias(c) for c, n in zip(given, names)], *made)
 
 
 ORACLE = r"""
@@ -93,7 +104,8 @@ WITH d AS (
  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
   -ln((CAST(('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13)) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS k, coalesce(md5(text), '') AS tie
  FROM documents),
-w AS (SELECT *, k / (CASE WHEN size < 20 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END) AS key FROM d),
+q AS (SELECT doc_id AS i, max(quality) AS quality FROM labels WHERE quality IN (0, 1) AND doc_id IS NOT NULL GROUP BY 1),
+w AS (SELECT d.*, k / (CASE quality WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.5::DOUBLE ELSE 0.75::DOUBLE END) AS key FROM d LEFT JOIN q ON d.doc_id = q.i),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 r AS (SELECT *, CAST(row_number() OVER (ORDER BY source NULLS LAST) - 1 AS INT) AS i FROM s),
 c AS (SELECT *, CAST(i % 3 + 1 AS DOUBLE) AS wt, 3.0::DOUBLE * source_size AS cap FROM r),

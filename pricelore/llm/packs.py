@@ -136,12 +136,17 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, dictionary_bytes: int = DICTIONARY_BYTES) -> bytes:
-    """A zstandard dictionary from the texts of the sample_rows rows with the smallest hashes of their ids: a fixed number,
-    whatever the table's size. Too few or too short texts give an empty dictionary, which stands for none."""
+    """A zstandard dictionary from one text of each of the sample_rows ids with the smallest hashes: a fixed number, whatever the
+    table's size. Too few or too short texts give an empty dictionary, which stands for none."""
     import zstandard
 
-    sample = df.select(F.substring(F.coalesce(F.col(text_col), F.lit("")), 1, SAMPLE_CHARS).alias("t"), F.xxhash64(id_col).alias("h")).orderBy("h", "t").limit(sample_rows)
-    ids = encoder(tokenizer_path).encode([r.t for r in sample.collect()])
+    spark = df.sparkSession
+    ids = df.select(F.col(f"`{id_col}`").cast("bigint").alias("__i")).filter(F.col("__i").isNotNull()).select(F.xxhash64("__i").alias("h"), "__i")
+    # Tasks send ids alone; texts are fetched for the chosen ones.
+    chosen = spark.createDataFrame(ids.distinct().orderBy("h", "__i").limit(sample_rows).collect(), ids.schema)
+    texts = df.select(F.col(f"`{id_col}`").cast("bigint").alias("__id"), F.substring(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 1, SAMPLE_CHARS).alias("__t"))
+    sample = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__i")).groupBy("h", "__i").agg(F.min("__t").alias("t"))
+    ids = encoder(tokenizer_path).encode([r.t for r in sorted(sample.collect(), key=lambda r: (r.h, r["__i"]))])
     try:
         return zstandard.train_dictionary(dictionary_bytes, [x for x in ids if x]).as_bytes()
     except zstandard.ZstdError:

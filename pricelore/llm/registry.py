@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, mixing, packs, secrets, sharding, simhash, substring, tokens, topk, toxicity
-from .common import shared_folder, ship, table
+from .common import shared_folder, ship, stored, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -24,15 +24,21 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
 
-def quality_weight():
-    """A document's weight in the mix: short ones weigh half."""
-    return F.when(mixing.size_of(F.col("text")) < 20, F.lit(0.5)).otherwise(F.lit(1.0))
+def with_quality(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """rows with __weight, a document's weight in the mix: 1 if its label says good, 0.5 if bad, 0.75 where it has none. Of several
+    labels of an id the best counts."""
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("quality").alias("__quality"))
+    weight = F.when(F.col("__quality") == 1, 1.0).when(F.col("__quality") == 0, 0.5).otherwise(0.75)
+    return rows.join(known, F.col("doc_id") == F.col("__labelled"), "left").withColumn("__weight", weight).drop("__labelled", "__quality")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.mix(docs, weight=quality_weight()).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    # Words and digests are taken from the texts once, and rows without texts are mixed.
+    text = F.col("text")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size_of(text).alias("words"), F.coalesce(F.md5(text.cast("binary")), F.lit("")).alias("digest"))
+    rows = stored(with_quality(rows, table(spark, sf_dir, "labels")), "sizes")
+    return mixing.mix(rows, weight=F.col("__weight"), size=F.col("words"), tie=F.col("digest")).select("doc_id", *mixing.MADE)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,12 +25,16 @@ KINDS = ("assign", "access", "hex", "random")
 LEAST_ASSIGN, LEAST_ACCESS = 8, 16
 
 #: A candidate for the token test: a run of key characters, this long at least.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST_RUN = 16
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 DIGEST_LENGTHS = frozenset((32, 40, 48, 56, 64, 96, 128))
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}\Z")
-#: Words, in any of the usual ways of joining them, with a number after a word at most.
-IDENTIFIER = re.compile(r"[A-Z]?[a-z]*(?:[0-9]{0,4}[_/+=-]+[A-Z]?[a-z]*|[A-Z][a-z]{2,})*[0-9]{0,4}\Z|[A-Z]*(?:[_/+=-]+[A-Z]*)*[0-9]{0,4}\Z|[0-9_/+=-]+\Z")
+#: What joins the words of an identifier, and its parts between: words, in any of the usual ways of joining them, with a number
+#: after a word at most.
+JOINTS = re.compile(r"[_/+=-]+")
+WORDS = re.compile(r"[A-Z]?[a-z]*(?:[A-Z][a-z]{2,})*[0-9]{0,4}\Z")
+CAPITALS = re.compile(r"[A-Z]*\Z")
 #: The word parts of an identifier.
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Characters a token under which a run counts as random.
@@ -57,17 +61,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_identifier(run: str) -> bool:
+    """Whether a run is made of words alone, or of capitals with a number after the last, or of numbers alone. Each part is
+    looked at once."""
+    parts = JOINTS.split(run)
+    if all(WORDS.match(x) for x in parts) or all(x.isdigit() or not x for x in parts):
+        return True
+    return all(CAPITALS.match(x) for x in parts[:-1]) and len(parts[-1]) - len(last := parts[-1].rstrip("0123456789")) <= 4 and bool(CAPITALS.match(last))
+
+
 def random_spans(text: str, encode, chars_per_token: float = CHARS_PER_TOKEN, digests: frozenset[str] = frozenset()) -> list[tuple[int, int, int]]:
     """Runs of key characters that take many tokens, without known digests (listed ones, and any of a digest's form)
-    and identifiers, whose word parts take few. The run is the leftmost longest, in code points."""
+    and identifiers, whose word parts take few. The run is the leftmost longest, in code points; runs of fewer than LEAST_RUN
+    characters, without the joints at their ends, are not tested: they have too few tokens for a ratio."""
     out = []
     for m in RUN.finditer(text):
         run = m.group().strip("=-_/+")
-        if run.isdigit() or len(run) < 20:
+        if run.isdigit() or len(run) < LEAST_RUN:
             continue
         if run in digests or DIGEST.match(run) and len(run) in DIGEST_LENGTHS or UUID.match(run):
             continue
-        if IDENTIFIER.match(run):
+        if is_identifier(run):
             parts = [x.lower() for x in PART.findall(run)]
             if sum(map(len, parts)) >= chars_per_token * sum(len(encode(x)) for x in parts):
                 continue

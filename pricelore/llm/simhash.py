@@ -6,8 +6,9 @@ one byte would hold a 256th of all fingerprints; the lists are therefore keyed b
 all within the last four bytes: of any five shared bytes, three lie in one half, so each such pair meets in a list.
 
 Few bits are a strict test: texts with a Jaccard similarity of 0.8 differ in about ten of 64. Where a similarity is asked for,
-sketches of minimum hashes find the pairs that fingerprints miss, in the same way: rows meet in lists by bands of minima,
-and all pairs of a list are held to the share of equal sketch bytes.
+sketches of minimum hashes find candidates beside the fingerprints, in the same way: rows meet in lists by bands of minima,
+and pairs of a list are held to the share of equal sketch bytes, with room for its error. The shingles of the two
+texts then decide each candidate exactly.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ KEYS = tuple(p for half in (range(4), range(4, 8)) for p in combinations(half, 3
 DENSE = 2048
 #: Minima in a sketch, of which one byte each is kept; the error of the estimated similarity is about 0.035 at 0.8.
 LANES = 128
-#: Bands of five minima each: texts of similarity 0.8 share one with probability 0.995, of 0.85 with 0.99995.
-BANDS, BAND_ROWS = 13, 5
+#: Bands of four minima each: texts of similarity 0.8 share one with probability 0.9998.
+BANDS, BAND_ROWS = 16, 4
+#: Candidates of each text in a list that are checked after classes have been found.
+CLOSEST = 3
 _RANDOM = np.random.default_rng(64)
 _ODD = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64)
@@ -84,30 +87,40 @@ def sketch_of(minima: np.ndarray) -> tuple[bytes, np.ndarray]:
 
 
 def least_equal(similarity: float) -> int:
-    """Equal bytes of two sketches from which they count as similar: unequal minima share a byte once in 256."""
-    return round(LANES * (similarity + (1 - similarity) / 256))
+    """Equal bytes of two sketches from which they are candidates: three standard errors below what the similarity gives. Unequal
+    minima share a byte once in 256."""
+    low = similarity - 3 * (similarity * (1 - similarity) / LANES) ** 0.5
+    return round(LANES * (low + (1 - low) / 256))
 
 
 def fingerprints(df: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", shingle_words: int = 3, sketches: bool = False) -> DataFrame:
-    """The kept columns and __fp, the fingerprint as a signed long; with sketches, also __sketch and __bands."""
+    """The kept columns and __fp, the fingerprint as a signed long; with sketches, also __sketch, __bands, __node, a hash of the
+    set of shingles, and __body, the compressed text."""
     kept = texts_of(df, text_col, *keep)
     fields = [f for f in kept.schema.fields if f.name != "__text"]
-    more = [T.StructField("__sketch", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType()))] if sketches else []
+    more = [T.StructField("__sketch", T.BinaryType()), T.StructField("__bands", T.ArrayType(T.LongType())), T.StructField("__node", T.LongType()), T.StructField("__body", T.BinaryType())] if sketches else []
     schema = T.StructType([*fields, T.StructField("__fp", T.LongType()), *more])
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        from xxhash import xxh64_intdigest
+        from zstandard import ZstdCompressor
+
+        squeeze = ZstdCompressor(level=3).compress
         for b in batches:
-            fps, marks, bands = [], [], []
+            fps, marks, bands, nodes, bodies = [], [], [], [], []
             for t in b.column(b.num_columns - 1).to_pylist():
                 hashes = shingle_hashes(t, shingle_words)
                 fps.append(fingerprint_of(hashes))
                 if sketches:
-                    mark, keys = sketch_of(minima_of(hashes))
+                    own = np.unique(hashes)
+                    mark, keys = sketch_of(minima_of(own))
+                    nodes.append(xxh64_intdigest(own.tobytes()))
+                    bodies.append(squeeze(t.encode()))
                     marks.append(mark)
                     bands.append(keys.view(np.int64))
             fps = np.array(fps, np.uint64).view(np.int64)
-            yield batch_of(arrow, [*[b.column(i).cast(arrow.field(i).type) for i in range(len(fields))], pa.array(fps), *([marks, bands] if sketches else [])])
+            yield batch_of(arrow, [*[b.column(i).cast(arrow.field(i).type) for i in range(len(fields))], pa.array(fps), *([marks, bands, np.array(nodes, np.uint64).view(np.int64), bodies] if sketches else [])])
 
     return kept.mapInArrow(run, schema)
 
@@ -238,47 +251,74 @@ def links(distinct: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
 
 
 def _similar(own: np.ndarray, least: int) -> np.ndarray:
-    """Labels of the sketches of one list: the place of the first member of each class. The search spreads from sketch to sketch
+    """Of each sketch of a list the place of the one that it was reached from, or its own. The search spreads from sketch to sketch
     over those not reached yet, so every pair across two classes has been compared, and a group of copies costs one pass."""
-    label = np.arange(len(own))
+    parent = np.arange(len(own))
     rest = np.arange(len(own))
     while len(rest) > 1:
-        first, rest, front = rest[0], rest[1:], rest[:1]
+        rest, front = rest[1:], rest[:1]
         while len(front) and len(rest):
             here, front = front[0], front[1:]
             near = (own[rest] == own[here]).sum(axis=1, dtype=np.int32) >= least
-            label[rest[near]] = first
+            parent[rest[near]] = here
             front = np.concatenate((front, rest[near]))
             rest = rest[~near]
-    return label
-
-
-def sketch_links(distinct: DataFrame, similarity: float) -> DataFrame:
-    """Of distinct __node, __sketch and __bands: links a, b of nodes that share a band and whose sketches are similar.
-
-    A list gives fewer links than it has members. Its members are compared in one task; copies of a sketch have gone before.
+    return parent
+
+
+def _closest(own: np.ndarray, label: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sketches of different classes: each sketch outside the list's largest class with the CLOSEST nearest of
+    other classes, as far as they are near enough."""
+    classes, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
+    a, b = [], []
+    for i in np.flatnonzero(of != sizes.argmax()) if len(classes) > 1 else ():
+        equal = (own == own[i]).sum(axis=1, dtype=np.int32)
+        equal[of == of[i]] = 0
+        top = np.argsort(-equal, kind="stable")[:CLOSEST]
+        top = top[equal[top] >= least]
+        a.append(np.full(len(top), i))
+        b.append(top)
+    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+
+
+def sketch_candidates(nodes: DataFrame, similarity: float, labels: DataFrame | None = None) -> DataFrame:
+    """Of distinct __node, __sketch and __bands: pairs a < b of nodes that share a band and whose sketches are near enough.
+
+    Without labels a list gives the steps of a search through it, fewer than it has members. With labels (__labelled, __label), the
+    classes that have been found so far, it gives pairs of different classes. A list's members are compared in one task; copies have
+    gone before.
     """
     least = least_equal(similarity)
-    lists = distinct.select("__node", "__sketch", F.explode("__bands").alias("__key")).repartition("__key").sortWithinPartitions("__key", "__node")
+    if labels is not None:
+        nodes = nodes.join(labels, F.col("__node") == F.col("__labelled"), "left")
+    label = F.lit(None).cast("bigint") if labels is None else F.coalesce("__label", "__node")
+    lists = nodes.select("__node", "__sketch", F.explode("__bands").alias("__key"), label.alias("__label")).repartition("__key").sortWithinPartitions("__key", "__node")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
         held: list[tuple] = []
-        now, nodes, marks = None, [], []
+        now, ids, marks, classes = None, [], [], []
 
         def close():
-            if len(nodes) > 1:
-                own = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, LANES)
-                label = _similar(own, least)
-                held.extend((nodes[label[i]], nodes[i]) for i in np.flatnonzero(label != np.arange(len(own))))
+            if len(ids) < 2 or classes[0] is not None and len(set(classes)) == 1:
+                return
+            own = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, LANES)
+            if classes[0] is None:
+                parent = _similar(own, least)
+                i = np.flatnonzero(parent != np.arange(len(own)))
+                j = parent[i]
+            else:
+                i, j = _closest(own, np.array(classes, np.int64), least)
+            held.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(i, j))
 
         for b in batches:
-            for node, mark, key in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for node, mark, key, label in zip(*(b.column(c).to_pylist() for c in range(4))):
                 if key != now:
                     close()
-                    now, nodes, marks = key, [], []
-                nodes.append(node)
+                    now, ids, marks, classes = key, [], [], []
+                ids.append(node)
                 marks.append(mark)
+                classes.append(label)
             if held:
                 yield batch_of(schema, [list(c) for c in zip(*held)])
                 held.clear()
@@ -289,7 +329,40 @@ def sketch_links(distinct: DataFrame, similarity: float) -> DataFrame:
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, checkpoints: bool = True) -> DataFrame:
+def exact_links(candidates: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Of pairs a, b those whose sets of shingles have that Jaccard similarity or more. bodies: __node and __body."""
+    of = lambda side: bodies.select(F.col("__node").alias(f"__{side}"), F.col("__body").alias(f"__body_{side}"))
+    both = candidates.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).select("a", "b", "__body_a", "__body_b")
+
+    def run(batches):
+        from zstandard import ZstdDecompressor
+
+        read = ZstdDecompressor().decompress
+        sets: dict[int, np.ndarray] = {}
+
+        def of(node: int, body: bytes) -> np.ndarray:
+            if node not in sets:
+                if len(sets) >= 256:
+                    sets.clear()
+                sets[node] = np.unique(shingle_hashes(read(body).decode(), shingle_words))
+            return sets[node]
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
+                p, q = of(a, x), of(b, y)
+                # Sets of very different sizes can't be similar.
+                if min(len(p), len(q)) < similarity * max(len(p), len(q)):
+                    keep.append(False)
+                    continue
+                common = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(common >= similarity * (len(p) + len(q) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Of links a, b: node and root, the smallest node that it reaches, for each node that has a link.
 
     Large-star and small-star steps in turn: each hooks all neighbours of a node to its smallest one, so the number of
@@ -324,25 +397,30 @@ def components(edges: DataFrame, checkpoints: bool = True) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, most_bits: int = MOST_BITS, similarity: float | None = None) -> DataFrame:
     """One row for each row of df: its id, fingerprint (16 hex digits) and component_id, the smallest id that it reaches
-    over links of at most most_bits differing bits, itself included. With a similarity, sets of shingles whose estimated Jaccard
-    similarity is that or more are linked as well.
+    over links of at most most_bits differing bits, itself included. With a similarity, links are instead between texts whose sets of
+    shingles have that Jaccard similarity or more: fingerprints and sketches give the candidates, the sets decide.
 
-    Null and empty texts have the fingerprint zero and are linked like any other. A null id gets the smallest id of its
-    component too, null only where the component has no other. Repeated rows stay.
+    Null and empty texts have the fingerprint zero and are linked like any other; their sets are equal. A null id gets the smallest id
+    of its component too, null only where the component has no other. Repeated rows stay; an empty table gives no rows. Other columns
+    are not looked at.
     """
     fps = stored(fingerprints(df, (id_col,), text_col, shingle_words, similarity is not None), "simhash")
     if similarity is None:
         fps = fps.withColumn("__node", F.col("__fp"))
         edges = links(fps.select("__fp").distinct(), most_bits)
     else:
-        fps = fps.withColumn("__node", F.xxhash64("__sketch"))
-        pairs = fps.select("__fp", "__node").distinct()
-        least = pairs.groupBy("__fp").agg(F.min("__node").alias("__least")).checkpoint()
+        bodies = fps.groupBy("__node").agg(F.first("__body").alias("__body"))
+        nodes = fps.groupBy("__node").agg(F.first("__sketch").alias("__sketch"), F.first("__bands").alias("__bands"))
+        least = fps.groupBy("__fp").agg(F.min("__node").alias("__least")).checkpoint()
         of = lambda side: least.select(F.col("__fp").alias(side), F.col("__least").alias(f"__{side}"))
         by_bits = links(least.select("__fp"), most_bits).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
-        same = pairs.join(least, "__fp").filter(F.col("__node") != F.col("__least")).select(F.col("__node").alias("a"), F.col("__least").alias("b"))
-        distinct = fps.groupBy("__node").agg(F.first("__sketch").alias("__sketch"), F.first("__bands").alias("__bands"))
-        edges = by_bits.unionByName(same).unionByName(sketch_links(distinct, similarity))
+        same = fps.select("__fp", "__node").distinct().join(least, "__fp").filter(F.col("__node") != F.col("__least")).select(F.col("__node").alias("a"), F.col("__least").alias("b"))
+        by_bits = by_bits.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        edges = stored(exact_links(by_bits.unionByName(sketch_candidates(nodes, similarity)).distinct(), bodies, shingle_words, similarity), "links")
+        # A candidate that fails may have stood between texts that other pairs would link.
+        labels = components(edges).select(F.col("node").alias("__labelled"), F.col("root").alias("__label"))
+        more = exact_links(sketch_candidates(nodes, similarity, labels), bodies, shingle_words, similarity)
+        edges = stored(edges.unionByName(more), "links")
     firsts = fps.groupBy("__node").agg(F.min(id_col).alias("__first"))
     roots = components(edges).checkpoint()
     smallest = roots.join(firsts, roots.node == firsts["__node"]).groupBy("root").agg(F.min("__first").alias("__least"))

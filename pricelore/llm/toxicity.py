@@ -305,8 +305,9 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return [], []
     few = docs.sparkSession.createDataFrame([(r["__i"], int(r["__y"])) for r in chosen], T.StructType([T.StructField("__i", labels.schema[id_col].dataType), T.StructField("__y", T.IntegerType())]))
     found = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).filter(F.length("__text") <= chars)
-    # At most 2 * texts rows are broadcast.
-    rows = sorted(((r["__id"], r["__text"], r["__y"]) for r in found.join(F.broadcast(few), F.col("__id") == F.col("__i")).limit(4 * texts).collect()), key=lambda r: (r[0], r[1]))
+    # At most 2 * texts rows are broadcast; of an id's texts the first in order counts.
+    first = found.join(F.broadcast(few), F.col("__id") == F.col("__i")).groupBy("__id", "__y").agg(F.min("__text").alias("__text"))
+    rows = sorted(((r["__id"], r["__text"], r["__y"]) for r in first.collect()), key=lambda r: (r[0], r[1]))
     return [r[1] for r in rows], [r[2] for r in rows]
 
 
