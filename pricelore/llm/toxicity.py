@@ -31,6 +31,8 @@ STEPS = 40
 EMBEDDING_RATE = 20
 #: Words whose inputs a worker keeps, and windows that it scores at once.
 KEPT_WORDS, WINDOWS_AT_ONCE = 400_000, 2048
+#: Words whose n-grams are looked at together in training.
+WORDS_AT_ONCE = 8192
 
 
 def _grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,9 +167,13 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
         net.p["out"][:] = 0
         net.p["bias"][0] = 2.0 if len(y) and y.max() > 0 else -2.0
         return net
-    word, grams, starts = _grams(words) if words else (np.zeros(0, np.int64),) * 3
-    stops = np.append(starts[1:], len(grams)) if len(words) else starts
-    every = [windows_of(i) for i in texts_ids]
+    # In parts, as the n-grams of all words at once take some hundred megabytes on the driver.
+    found = [_grams(words[a : a + WORDS_AT_ONCE]) for a in range(0, len(words), WORDS_AT_ONCE)]
+    shifts = np.concatenate(([0], np.cumsum([len(g) for _, g, _ in found])))
+    word, grams, starts = (np.concatenate([np.zeros(0, np.int32), *x]) for x in ([w.astype(np.int32) for w, _, _ in found], [g.astype(np.int32) for _, g, _ in found], [(s + shift).astype(np.int32) for (_, _, s), shift in zip(found, shifts)]))
+    stops = np.append(starts[1:], len(grams)).astype(np.int32) if len(words) else starts
+    del found, place
+    every = [windows_of(i.astype(np.int32)) for i in texts_ids]
     owner = np.repeat(np.arange(len(every)), [len(w) for w in every])
     first = np.concatenate(([0], np.cumsum([len(w) for w in every])))
     every = np.concatenate(every)
@@ -210,7 +216,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Network:
             net.p[name] -= rate * (EMBEDDING_RATE if name in ("word", "gram") else 1) * (momentum[name] / (1 - 0.9**step)) / (np.sqrt(square[name] / (1 - 0.99**step)) + 1e-6)
 
     def scores() -> np.ndarray:
-        gates = inputs(np.arange(len(words) + 1))[0] @ net.p["wx"] + net.p["bx"]
+        gates = np.concatenate([inputs(np.arange(a, min(a + WORDS_AT_ONCE, len(words) + 1)))[0] @ net.p["wx"] + net.p["bx"] for a in range(0, len(words) + 1, WORDS_AT_ONCE)])
         return np.concatenate([net.run(gates, every[a : a + WINDOWS_AT_ONCE]) for a in range(0, len(every), WINDOWS_AT_ONCE)])
 
     positive, negative = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
