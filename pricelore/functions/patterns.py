@@ -9,7 +9,7 @@ CURRENCY_WORD = r"(?i)^(?:€|EUR|DKK|SEK|NOK|USD|GBP|CHF|JPY|CAD|AUD)$"
 CURRENCY_INSIDE = r"(?i)€|EUR|DKK|SEK|NOK|USD|GBP|CHF|JPY|CAD|AUD"
 CURRENCY_PRICE = r"(?i)\b(DKK|SEK|NOK|EUR)\s*([0-9][0-9.,]*)"
 DIMENSION_IN_LINE = r"\b\d{2,5}\s*[xX]\s*\d{2,5}\b"
-UNIT = r"(?i)\b(?:cm|mm|mq|sqm|m2|m3|kg|dia|diam)\b|\bh\.\b"
+UNIT = r"(?i)\b(?:cm|mm|mq|sqm|m2|m3|kg|dia|diam)\b|\bh\.\b|\bm[²³](?:$|[^0-9A-Za-z_²³¹])"
 MEASURE = r"(?i)\b(?:cm|mm|mq|sqm|m2|m3|kg|volume|seat\s*h|fabric\s*meters?)\b"
 NUMBER = r"\b\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?\b|\b\d{1,7}(?:[.,]\d{1,2})?\b"
 THOUSANDS = r"^\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{2})?$"
@@ -17,8 +17,8 @@ DECIMAL_2 = r"[.,]\d{2}$"
 PRICE_TOKEN = r"^(?:\d{1,3}(?:[.,]\d{3})+(?:[.,]\d{1,2})?|\d{1,7}(?:[.,]\d{1,2})?)$"
 STRIP_CHARS = " ,;:()[]{}<>|"
 YEAR_MIN, YEAR_MAX = 2000, 2026
-TOC_PAIR = r"(?i)\b(\d{1,3})\s+(20[01]\d|202[0-6])\s+EUR\b"
-YEAR_EUR = r"(?i)\bEUR\s*(?:20[01]\d|202[0-6])\b|\b(?:20[01]\d|202[0-6])\s*(?:EUR|€)\b"
+TOC_PAIR = r"(?i)\b(\d{1,3})\s+(20[01]\d|202[0-6])\s+(?:EUR|€)\b"
+YEAR_EUR = r"(?i)\b(?:EUR|€)\s*(?:20[01]\d|202[0-6])\b|\b(?:20[01]\d|202[0-6])\s*(?:EUR|€)\b"
 SHORT_NUMBER = r"\b\d{1,3}\b"
 CODE_LABEL = r"(?i)\b(?:code|cod|codice|art\.?\s*no|item|ref|nr)\b"
 SPEC = r"(?i)\b(?:led\s*/\s*m|dimmable|strip|bulb)\b"
@@ -69,8 +69,39 @@ STOPWORDS = ("terms", "conditions", "indice", "index", "contents", "table of con
 NOT_SECTION_WORDS = ("colli", "size", "designer", "art. no", "rrp", "pricelist", "catalog")
 
 
+#: A character three times in a row; only for engines with back-references.
+TRIPLE = r"([0-9A-Za-z.\-/])\1\1"
+
+
 def triple() -> str:
     """A character three times in a row, without a back-reference."""
     import string
 
     return "|".join(f"{c}{c}{c}" for c in string.digits + string.ascii_letters) + r"|---|\.\.\.|///"
+
+
+# The marker format.
+RRP_MARK = r"(?i)\*\*\s*RRP"
+ART_NO_MARK = r"(?i)Art\.?\s*no\.?\s*:"
+ART_NO_VALUE = r"(?i)Art\.?\s*no\.?\s*:\s*([A-Z0-9]+(?:-[A-Z0-9]+)*)"
+ART_NO_FORM = r"^[A-Za-z0-9][A-Za-z0-9\-./]*$"
+MARKER_PRICE = r"\b(DKK|SEK|NOK|EUR)\s+([0-9]+(?:[.,][0-9]{1,2})?)"
+MARKER_LINE = r"(?i)Colli\s*:|Size\s*:|Designer\s*:|Art\.?\s*no\.?\s*:|\bRRP\b"
+COLLI_MARK = r"(?i)Colli\s*:"
+LARGE_NUMBER = r"\b\d{6,}\b"
+DEGRADED_ART_NO = r"(?i)Art\.?\s*no\.?\s*:\s*\d+\s*[-­]\s*\d+"
+#: Materials and colours that name a variant.
+VARIANT_WORDS = ("steel", "stainless", "light grey", "dark grey", "grey", "black", "white", "clear", "transparent", "smoked", "oak", "beech", "ash", "brass", "chrome", "polished", "matte", "satin", "glass", "porcelain", "aluminum", "aluminium", "plastic", "silicone", "rubber", "felt", "leather", "walnut", "natural")
+
+# Tables and positioned words.
+COLUMN_GAP = r"\s{2,}|\t"
+COLUMN_PRICE = r"([0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]{2})?|[0-9]{1,7}(?:[.,][0-9]{1,2})?)"
+STITCH_UNITS = ("cm", "mm", "m", "m2", "m3", "sqm", "mq", "kg", "volume")
+
+# Words that hint at a language, the first language first, and words that are never labels.
+LANGUAGE_HINTS = {
+    "it": ("prezzo", "codice", "descrizione", "dimensioni", "misure", "colore", "pezzi", "confezione", "quantita", "altezza", "larghezza", "profondita"),
+    "en": ("price", "code", "description", "dimensions", "size", "width", "height", "depth", "color", "qty", "pack", "pieces", "collection"),
+    "fr": ("prix", "code", "description", "dimensions", "taille"),
+    "de": ("preis", "artikel", "beschreibung", "masse", "groesse", "breite", "hoehe", "tiefe"),
+}

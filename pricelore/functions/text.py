@@ -9,8 +9,9 @@ from pricelore.config import CONFIG
 from pricelore.functions import patterns as rx
 
 
-def matches(c: Column, pattern: str) -> Column:
-    return c.rlike(pattern)
+def let(c: Column, f) -> Column:
+    """f of c, with c computed once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
 
 
 def normalize_text(c: Column) -> Column:
@@ -38,19 +39,19 @@ def tokenize(c: Column) -> Column:
 def parse_number(c: Column) -> Column:
     """The number in a string: of two kinds of separators the later is the decimal one; a single kind before exactly three
     digits, in more than four characters, separates thousands. Null if it can't be read."""
-    s = F.regexp_replace(c, r"[^0-9,.]", "")
-    comma, dot = F.length(s) - F.instr(F.reverse(s), ","), F.length(s) - F.instr(F.reverse(s), ".")
-    has_comma, has_dot = s.contains(","), s.contains(".")
-    digits = F.regexp_replace(s, "[,.]", "")
-    after = F.length(F.regexp_extract(s, r"[,.]([0-9]*)$", 1))
-    whole = (after == 3) & (F.length(s) > 4)
-    text = (
-        F.when(has_comma & has_dot & (comma > dot), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(has_comma & has_dot, F.replace(s, F.lit(","), F.lit("")))
-        .when((has_comma | has_dot) & whole, digits)
-        .otherwise(F.replace(s, F.lit(","), F.lit(".")))
-    )
-    return F.when(text.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), text.try_cast("double"))
+
+    def read(s: Column) -> Column:
+        comma, dot = F.instr(F.reverse(s), ","), F.instr(F.reverse(s), ".")
+        plain = F.replace(s, F.lit(","), F.lit("."))
+        text = (
+            F.when((comma > 0) & (dot > 0) & (comma < dot), F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
+            .when((comma > 0) & (dot > 0), F.replace(s, F.lit(","), F.lit("")))
+            .when(((comma == 4) | (dot == 4)) & (F.length(s) > 4), F.translate(s, ",.", ""))
+            .otherwise(plain)
+        )
+        return let(text, lambda t: F.when(t.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), t.try_cast("double")))
+
+    return let(F.regexp_replace(c, r"[^0-9,.]", ""), read)
 
 
 def is_year(cleaned: Column, raw: Column) -> Column:
@@ -58,8 +59,7 @@ def is_year(cleaned: Column, raw: Column) -> Column:
 
 
 def parse_price(c: Column) -> Column:
-    v = parse_number(c)
-    return F.when(~is_year(c, c) & (v >= CONFIG.price_min) & (v < CONFIG.price_max), v)
+    return let(parse_number(c), lambda v: F.when((v >= CONFIG.price_min) & (v < CONFIG.price_max) & ~is_year(c, c), v))
 
 
 def canonical_code(c: Column) -> Column:
@@ -74,20 +74,29 @@ def is_blacklisted(code: Column) -> Column:
     return out
 
 
-def is_valid_code(c: Column, min_len: int = CONFIG.code_min_len) -> Column:
-    code = canonical_code(c)
+def _is_valid_canonical(code: Column, min_len: int) -> Column:
     return (F.length(code) >= max(6, min_len)) & code.rlike("[A-Za-z]") & code.rlike("[0-9]") & ~code.rlike(rx.DIMENSION_TOKEN) & ~code.rlike(rx.DATE_TOKEN) & ~code.rlike(rx.NUMBER_WITH_UNIT) & ~is_blacklisted(code)
 
 
+def is_valid_code(c: Column, min_len: int = CONFIG.code_min_len) -> Column:
+    return let(canonical_code(c), lambda code: _is_valid_canonical(code, min_len))
+
+
 def is_plausible_code(c: Column, min_len: int = CONFIG.code_min_len) -> Column:
     """A valid code of which enough are letters and digits, in a balance, that don't take turns all the way."""
-    own = F.regexp_replace(c, r"\s+", "")
-    alnum = F.regexp_replace(own, "[^A-Za-z0-9]", "")
-    digits = F.length(F.regexp_replace(alnum, "[^0-9]", ""))
-    # Runs of letters and of digits, less one, are the changes between them.
-    changes = F.regexp_count(alnum, F.lit("[0-9]+|[A-Za-z]+")) - 1
-    n = F.length(alnum)
-    return is_valid_code(own, min_len) & (n >= 0.6 * F.length(own)) & (digits >= 0.2 * n) & (digits <= 0.85 * n) & ~((n >= 5) & (n <= 8) & (changes > 0.7 * (n - 1))) & ~own.rlike(rx.triple())
+
+    def balanced(own: Column, alnum: Column) -> Column:
+        digits = F.length(F.regexp_replace(alnum, "[^0-9]", ""))
+        n = F.length(alnum)
+        # Runs of letters and of digits, less one, are the changes between them.
+        changes = F.regexp_count(alnum, F.lit("[0-9]+|[A-Za-z]+")) - 1
+        return (n >= 0.6 * F.length(own)) & let(digits, lambda d: (d >= 0.2 * n) & (d <= 0.85 * n)) & ~((n >= 5) & (n <= 8) & (changes > 0.7 * (n - 1)))
+
+    def plausible(own: Column) -> Column:
+        # What is too short, or has no letter or no digit, goes first: most words do.
+        return (F.length(own) >= max(6, min_len)) & own.rlike("[0-9]") & own.rlike("[A-Za-z]") & is_valid_code(own, min_len) & ~own.rlike(rx.TRIPLE) & let(F.regexp_replace(own, "[^A-Za-z0-9]", ""), lambda alnum: balanced(own, alnum))
+
+    return let(F.regexp_replace(c, r"\s+", ""), plausible)
 
 
 def strip_currency(c: Column) -> Column:
@@ -95,8 +104,7 @@ def strip_currency(c: Column) -> Column:
 
 
 def is_dimension_candidate(c: Column) -> Column:
-    own = F.replace(c, F.lit("×"), F.lit("x"))
-    return F.replace(own, F.lit(" "), F.lit("")).rlike(rx.DIMENSION_X) | own.rlike(rx.DIMENSION_LABELLED)
+    return let(F.replace(c, F.lit("×"), F.lit("x")), lambda own: F.replace(own, F.lit(" "), F.lit("")).rlike(rx.DIMENSION_X) | own.rlike(rx.DIMENSION_LABELLED))
 
 
 def classify_token(c: Column) -> Column:
@@ -112,27 +120,20 @@ def classify_token(c: Column) -> Column:
 
 def count_words(c: Column, words: tuple[str, ...]) -> Column:
     """How many of the words a text holds, as parts of words too."""
-    lowered, out = F.lower(c), F.lit(0)
-    for w in words:
-        out = out + lowered.contains(w).cast("int")
-    return out
+    return let(F.lower(c), lambda lowered: sum((lowered.contains(w).cast("int") for w in words), F.lit(0)))
 
 
 def count_patterns(c: Column, patterns: tuple[str, ...]) -> Column:
-    out = F.lit(0)
-    for p in patterns:
-        out = out + c.rlike(p).cast("int")
-    return out
+    """How many of the patterns a text holds. Bound to a variable, as so many matches in one generated method are too much for it."""
+    return let(c, lambda x: sum((x.rlike(p).cast("int") for p in patterns), F.lit(0)))
 
 
 def is_legal(c: Column) -> Column:
-    hits = count_patterns(c, rx.LEGAL)
-    return (hits >= 2) | ((hits >= 1) & (F.length(c) > 220) & (F.regexp_count(c, F.lit("[;:§]")) >= 2))
+    return let(count_patterns(c, rx.LEGAL), lambda hits: (hits >= 2) | ((hits >= 1) & (F.length(c) > 220) & (F.regexp_count(c, F.lit("[;:§]")) >= 2)))
 
 
 def is_header(c: Column) -> Column:
-    hits = count_words(c, rx.HEADER_WORDS)
-    return (hits >= 2) | ((hits >= 1) & (F.length(c) <= 60))
+    return let(count_words(c, rx.HEADER_WORDS), lambda hits: (hits >= 2) | ((hits >= 1) & (F.length(c) <= 60)))
 
 
 def numeric_density(c: Column) -> Column:

@@ -33,37 +33,34 @@ def token_info(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """lines with toks: an array of structs, one for each token, that hold what the token is by itself and by its neighbours."""
 
     def alone(t: Column, i: Column) -> Column:
-        cleaned = tx.strip_currency(t)
-        price = cleaned.rlike(rx.PRICE_TOKEN)
-        return F.struct(
-            i.alias("i"), t.alias("token"), cleaned.alias("cleaned"), price.alias("price"), tx.is_year(cleaned, t).alias("year"),
-            tx.parse_number(cleaned).alias("number"), cleaned.rlike(rx.THOUSANDS).alias("thousands"), cleaned.rlike(rx.DECIMAL_2).alias("two_decimals"),
+        return tx.let(tx.strip_currency(t), lambda cleaned: tx.let(cleaned.rlike(rx.PRICE_TOKEN), lambda price: F.struct(
+            i.alias("i"), t.alias("token"), cleaned.alias("cleaned"), price.alias("price"), (price & tx.is_year(cleaned, t)).alias("year"),
+            F.when(price, tx.parse_number(cleaned)).alias("number"), (price & cleaned.rlike(rx.THOUSANDS)).alias("thousands"), (price & cleaned.rlike(rx.DECIMAL_2)).alias("two_decimals"),
             t.rlike(rx.CURRENCY_WORD).alias("currency"), t.rlike(rx.CURRENCY_INSIDE).alias("has_currency"),
             (t.rlike(rx.NUMBER_WITH_UNIT) | t.rlike(rx.UNIT_CONTEXT) | t.contains('"')).alias("unit"),
-            tx.is_dimension_candidate(t).alias("dimension"), tx.parse_number(t).isNotNull().alias("is_number"),
+            tx.is_dimension_candidate(t).alias("dimension"), F.coalesce(t.rlike("[0-9]") & tx.parse_number(t).isNotNull(), F.lit(False)).alias("is_number"),
             t.isin("x", "X", "×").alias("is_x"), t.rlike(rx.DIMENSION_LABEL).alias("is_label"), t.rlike(rx.UNIT_TOKEN).alias("is_unit"),
             tx.canonical_code(t).alias("code"),
-        )
+        )))
 
     df = lines.withColumn("tokens", tx.tokenize(F.col(line_col))).withColumn("toks", F.transform("tokens", alone))
     toks = F.col("toks")
 
     def spans(t: Column, i: Column) -> Column:
-        """Whether a dimension written over several tokens begins here: n x n, or a label and a number."""
-        cross = t.getField("is_number") & ~t.getField("dimension") & _around(toks, i, 1, "is_x") & _around(toks, i, 2, "is_number")
-        label = t.getField("is_label") & _around(toks, i, 1, "is_number")
-        return F.struct(cross.alias("cross"), label.alias("label"))
-
-    df = df.withColumn("__spans", F.transform("toks", spans))
-    s = F.col("__spans")
+        """Where a dimension written over several tokens would begin and end: n x n, n x n x n, or a label and a number, and a unit."""
+        at = lambda k, field: _around(toks, i, k, field)
+        cross = t.getField("is_number") & ~t.getField("dimension") & at(1, "is_x") & at(2, "is_number")
+        third = at(3, "is_x") & at(4, "is_number")
+        size = F.when(cross & third, 5 + at(5, "is_unit").cast("int")).when(cross, 3 + at(3, "is_unit").cast("int")).when(t.getField("is_label") & at(1, "is_number"), 2 + at(2, "is_unit").cast("int"))
+        return F.struct(i.alias("a"), (i + size).alias("z"))
+
+    df = df.withColumn("__spans", F.filter(F.transform("toks", spans), lambda s: s.getField("z").isNotNull()))
+    # From the left, each span begins after the one before.
+    free = F.aggregate("__spans", F.array().cast("array<struct<a:int,z:int>>"), lambda done, s: F.when(s.getField("a") >= F.coalesce(F.try_element_at(done, F.lit(-1)).getField("z"), F.lit(0)), F.concat(done, F.array(s))).otherwise(done))
+    df = df.withColumn("__taken", free)
 
     def consumed(t: Column, i: Column) -> Column:
-        own = t.getField("dimension")
-        for k in (0, 1, 2):
-            own = own | _around(s, i, -k, "cross")
-        for k in (0, 1):
-            own = own | _around(s, i, -k, "label")
-        return own | t.getField("is_unit") & (_around(s, i, -3, "cross") | _around(s, i, -2, "label"))
+        return t.getField("dimension") | F.exists("__taken", lambda s: (s.getField("a") <= i) & (i < s.getField("z")))
 
     def full(t: Column, i: Column) -> Column:
         unit = t.getField("unit")
@@ -72,8 +69,8 @@ def token_info(lines: DataFrame, line_col: str = "line") -> DataFrame:
         near = t.getField("has_currency") | _around(toks, i, -1, "currency") | _around(toks, i, 1, "currency")
         return F.struct(*[t.getField(n).alias(n) for n in ("i", "token", "cleaned", "price", "year", "number", "thousands", "two_decimals", "currency", "dimension", "code")], unit.alias("unit"), near.alias("near_currency"), consumed(t, i).alias("consumed"))
 
-    has_spans = F.exists("__spans", lambda x: x.getField("cross") | x.getField("label"))
-    return settled(df.withColumn("__full", F.transform("toks", full)).withColumn("has_dimension_candidate", has_spans | F.exists("toks", lambda t: t.getField("dimension"))).withColumn("toks", F.col("__full")).drop("__full", "__spans"))
+    df = df.withColumn("has_dimension_candidate", (F.size("__spans") > 0) | F.exists("toks", lambda t: t.getField("dimension")))
+    return settled(df.withColumn("__full", F.transform("toks", full)).withColumn("toks", F.col("__full")).drop("__full", "__spans", "__taken"))
 
 
 def line_info(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -142,4 +139,7 @@ def parse_rows(info: DataFrame, line_col: str = "line") -> DataFrame:
         return F.when((part == "") | (at == 0), c).otherwise(F.concat(F.substring(c, F.lit(1), at - 1), F.lit(" "), F.substring(c, at + F.length(part), F.length(c))))
 
     name = without(without(F.col(line_col), F.col("code_raw")), F.col("price_raw"))
-    return settled(df.withColumn("name", F.btrim(F.regexp_replace(name, r"\s{2,}", " "))).drop("__chosen"))
+    df = df.withColumn("name", F.btrim(F.regexp_replace(name, r"\s{2,}", " "))).drop("__chosen")
+    # What the parser has not found the line's best candidates give.
+    filled = {"art_no": F.when(F.col("art_no") == "", F.coalesce("best_code.token", F.lit(""))).otherwise(F.col("art_no")), "name": F.when(F.col("name") == "", F.col("resolved_name")).otherwise(F.col("name"))}
+    return settled(df.withColumns(filled))

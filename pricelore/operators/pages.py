@@ -23,7 +23,7 @@ def cooccurrence(info: DataFrame, reach: int = 1) -> DataFrame:
 def page_signals(info: DataFrame) -> DataFrame:
     """One row a page."""
     df = cooccurrence(info)
-    digits = F.length(F.regexp_replace("line", "[^0-9]", ""))
+    digits = F.length(F.regexp_replace("line", "[^0-9²³¹]", ""))
     sums = {
         "n_lines": F.count("*"), "digits": F.sum(digits), "chars": F.sum(F.length("line")),
         "price_like_count": F.sum(F.col("price_like").cast("int")), "mixed_code_count": F.sum("code_hits"),

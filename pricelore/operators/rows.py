@@ -17,9 +17,16 @@ def is_product():
     return tx.is_valid_code(F.col("art_no"))
 
 
-def discard_reason(rows: DataFrame) -> DataFrame:
+#: The mode in which rows without a name or a price may stay for review.
+PARTIAL = "partial_ok"
+#: Reasons that no code and price outweigh, and those that only leave a mark.
+HARD = ("missing_art_no", "missing_price", "hard_art_no", "numeric_dimension_artno", "dim_only_row", "header_like_strict")
+DOUBTFUL = ("hard_legal", "dim_only_row", "header_like_strict")
+
+
+def discard_reason(rows: DataFrame, mode: str = CONFIG.export_mode) -> DataFrame:
     """Why a row is no product at all; '' if it may be one. Rows with any candidate for a code or a price aren't discarded
-    for want of a code."""
+    for want of a code; unless partial rows may stay, those that don't look priced are."""
     any_candidate = (F.size("code_candidates") > 0) | (F.size("price_candidates") > 0)
     header = ~F.col("line").rlike(rx.NUMBER) & F.col("line").rlike(r"(?i)\b(?:code|description|price)\b")
     reason = (
@@ -28,6 +35,7 @@ def discard_reason(rows: DataFrame) -> DataFrame:
         .when((F.col("art_no") == "") & ~any_candidate, "bad_id")
         .when((F.col("art_no") == ""), "")
         .when(F.col("dimension_line") & ~F.col("price_like"), "dimension_line")
+        .when(F.lit(mode != PARTIAL) & ~F.col("price_like"), "no_price")
         .otherwise("")
     )
     return settled(rows.withColumn("discard_reason", reason))
@@ -69,8 +77,13 @@ def is_dimension_only():
     return (F.col("has_dimension_candidate") | F.col("line").rlike(rx.DIMENSION_WORD)) & (F.size(words) < 2) & (letters < 4)
 
 
-def hard_validation(rows: DataFrame) -> DataFrame:
-    """Why a row may not be exported; '' if it may."""
+def has_signal():
+    """Whether anything about a row speaks of a price."""
+    return F.col("price").isNotNull() | F.col("price_like") | (F.size("price_candidates") > 0)
+
+
+def hard_validation(rows: DataFrame, mode: str = CONFIG.export_mode) -> DataFrame:
+    """Why a row may not be exported; '' if it may. Unless partial rows may stay, a price and a proper name are asked for as well."""
     reason = (
         F.when(F.col("is_legal"), "hard_legal")
         .when(is_dimension_only(), "dim_only_row")
@@ -78,36 +91,57 @@ def hard_validation(rows: DataFrame) -> DataFrame:
         .when(F.col("art_no") == "", "missing_art_no")
         .when(F.col("art_no").rlike(r"^\d+$") & (F.col("dimension_line") | F.col("has_dimension_candidate")), "numeric_dimension_artno")
         .when(~is_product(), "hard_art_no")
-        .otherwise("")
     )
-    return settled(rows.withColumn("hard_reason", reason))
+    if mode != PARTIAL:
+        name = F.btrim("name")
+        letters = F.length(F.regexp_replace(name, r"[^\p{L}]", ""))
+        reason = reason.when(~has_signal(), "hard_no_price").when(name == "", "hard_no_name").when(~F.length(name).between(3, 90), "hard_name_len").when(letters < 3, "hard_name_alpha")
+    return settled(rows.withColumn("hard_reason", reason.otherwise("")))
 
 
 def score_rows(rows: DataFrame) -> DataFrame:
-    """confidence, and whether a row needs review."""
+    """confidence, and whether a row needs review. Rows may have ocr_used and size_unparsed, which cost some."""
     lost = F.when(F.col("art_no") == "", 0.8).otherwise(0.0) + F.when(F.col("name") == "", 0.4).otherwise(0.0) + F.when(F.col("price").isNull(), 0.2).otherwise(0.0)
+    review = (F.col("art_no") == "") | (F.col("name") == "")
+    if "ocr_used" in rows.columns:
+        lost = lost + F.when(F.col("ocr_used"), CONFIG.ocr_penalty).otherwise(0.0)
+        review = review | F.col("ocr_used") & F.col("price").isNull()
+    if "size_unparsed" in rows.columns:
+        lost = lost + F.when(F.col("size_unparsed"), 0.1).otherwise(0.0)
     df = rows.withColumn("confidence", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.lit(1.0) - lost)))
-    return df.withColumn("needs_review", (F.col("confidence") < CONFIG.confidence_threshold) | (F.col("art_no") == "") | (F.col("name") == ""))
-
-
-def export_rows(rows: DataFrame) -> DataFrame:
-    """exported, needs_review and notes of the rows that are neither discarded nor noise."""
-    df = (score_rows(hard_validation(noise_class(discard_reason(rows))))).filter((F.col("discard_reason") == "") & (F.col("noise_class") == ""))
-    hard = F.col("hard_reason") != ""
-    keeps = is_product() & F.col("price").isNotNull()
-    # A row with a valid code and a price is exported whatever soft doubts there are, and legal wording is one of those.
-    blocked = hard & ~F.col("hard_reason").isin("hard_legal")
-    notes = F.array_compact(F.array(F.when(hard, F.col("hard_reason")), F.when(F.col("price").isNull(), "missing_price_eur"), F.when(F.col("name") == "", "missing_product_name"), F.when(F.col("art_no") == "", "missing_art_no")))
-    return settled(df.withColumns({
-        "exported": ~blocked & (keeps | ~hard),
-        "needs_review": F.when(blocked, True).when(keeps, False).otherwise(F.col("needs_review") | hard | F.col("price").isNull()),
-        "notes": F.array_join(notes, "; "),
-    }))
-
-
-def row_score():
+    return df.withColumn("needs_review", (F.col("confidence") < CONFIG.confidence_threshold) | review)
+
+
+def export_rows(rows: DataFrame, mode: str = CONFIG.export_mode) -> DataFrame:
+    """exported, needs_review, confidence and notes of the rows that are neither discarded nor noise.
+
+    A row with a valid code and a price is exported unless a hard reason holds; every other row needs review. Each note stands once,
+    where it first came up.
+    """
+    df = (score_rows(hard_validation(noise_class(discard_reason(rows, mode)), mode))).filter((F.col("discard_reason") == "") & (F.col("noise_class") == ""))
+    hard, product, priced = F.col("hard_reason"), is_product(), F.col("price").isNotNull()
+    codes, prices = F.size("code_candidates") > 0, F.size("price_candidates") > 0
+    df = df.withColumn("exported", product & priced & ~hard.isin(*HARD))
+    strict = F.lit(mode != PARTIAL)
+    some = (
+        (F.col("dimension_line"), "dimension_line"), (~F.col("price_like"), "no_price_like"),
+        (F.col("art_no") == "", "missing_art_no"), (F.col("name") == "", "missing_product_name"), (~priced, "missing_price_eur"),
+        (F.col("has_dimension_candidate"), "dim_detected"), (prices, "price_detected"), (codes, "artno_detected"),
+        (~product, "invalid_chunk_missing_art_no"), (strict & ~has_signal(), "invalid_chunk_missing_price"), (strict & (F.col("name") == ""), "invalid_chunk_missing_name"), (~prices & ~codes, "no_price_no_artno"),
+        (hard != "", hard), (~strict & ~has_signal(), "partial_export_weak_signal"), (~product, "missing_art_no"), (~priced, "missing_price"),
+        (F.col("exported") & F.col("dimension_line"), "SOFT_REVIEW:dimension_line"),
+    )
+    notes = F.array_distinct(F.array_compact(F.array(*[F.when(when, note) for when, note in some])))
+    limited = F.when(hard.isin(*DOUBTFUL), F.least("confidence", F.lit(0.3))).otherwise(F.col("confidence"))
+    return settled(df.withColumns({"needs_review": ~F.col("exported"), "confidence": limited, "notes": F.array_join(notes, "; ")}))
+
+
+def row_score(rows: DataFrame):
     """How good a row is among the rows of its code."""
     score = F.when(F.col("name") != "", 3).otherwise(0) + F.when(F.col("price").isNotNull() | F.col("price_like"), 4).otherwise(0) + F.when(F.col("has_currency"), 2).otherwise(0)
+    for c in ("designer", "size_raw", "variant", "colli", "section"):
+        if c in rows.columns:
+            score = score + F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) != "", 1).otherwise(0)
     score = score - F.when(F.col("dimension_line"), 3).otherwise(0) - F.when((F.size(F.split("line", r"\s+")) > 10) & ~F.col("price_like"), 2).otherwise(0)
     return score - F.col("needs_review").cast("int") - (~F.col("exported")).cast("int")
 
@@ -118,12 +152,48 @@ ORDER = ("page_number", "line_no")
 def dedup(rows: DataFrame) -> DataFrame:
     """Rows of a document and code ranked by score: the best stays; others become noise or real price conflicts."""
     w = Window.partitionBy("source_file", "art_no").orderBy(F.col("row_score").desc(), *ORDER)
-    df = rows.filter(is_product()).withColumn("row_score", row_score()).withColumn("dup_rank", F.row_number().over(w))
+    df = rows.filter(is_product()).withColumn("row_score", row_score(rows)).withColumn("dup_rank", F.row_number().over(w))
     price_like = F.col("price_like") | F.col("price").isNotNull()
     verdict = F.when(F.col("dup_rank") == 1, "best").when(~price_like, "technical_sheet_line").when(F.col("is_header"), "header_noise_conflict").otherwise("real_price_conflict")
     return df.withColumn("dup_verdict", verdict)
 
 
+def apply_duplicates(rows: DataFrame) -> DataFrame:
+    """All rows, with noise, and with exported, needs_review and notes as the verdicts have it: of a code's rows the best stays as it is, lines
+    without a price and headings become noise, and other prices are exported with a mark. Rows without a valid code stay as they are."""
+    w = Window.partitionBy("source_file", "art_no").orderBy(F.col("row_score").desc(), *ORDER)
+    own = rows.withColumn("row_score", F.when(is_product(), row_score(rows)))
+    df = own.withColumn("dup_rank", F.when(is_product(), F.row_number().over(w)))
+    price_like = F.col("price_like") | F.col("price").isNotNull()
+    verdict = F.when(F.coalesce(F.col("dup_rank"), F.lit(1)) == 1, "").when(~price_like, "technical_sheet_line").when(F.col("is_header"), "header_noise_conflict").otherwise("real_price_conflict")
+    df = df.withColumn("dup_verdict", verdict)
+    real, more = F.col("dup_verdict") == "real_price_conflict", F.col("dup_verdict") != ""
+    notes = F.concat_ws("; ", F.when(F.col("notes") != "", F.col("notes")), F.when(real, "SOFT_REVIEW:duplicate_variant"), F.when(more, F.col("dup_verdict")))
+    return df.withColumns({"noise": more & ~real, "exported": F.when(more, real).otherwise(F.col("exported")), "needs_review": F.when(more, False).otherwise(F.col("needs_review")), "notes": notes})
+
+
+def ensure_prices(rows: DataFrame, target: str = CONFIG.target_currency, price_col: str = "price") -> DataFrame:
+    """Exported rows without a price in the target currency need review, with a note."""
+    missing, note = F.col("exported") & F.col(price_col).isNull(), f"missing_price_{target.lower()}"
+    known = F.array_contains(F.split("notes", "; "), note)
+    return rows.withColumns({"needs_review": F.col("needs_review") | missing, "notes": F.when(missing & ~known, F.concat_ws("; ", F.when(F.col("notes") != "", F.col("notes")), F.lit(note))).otherwise(F.col("notes"))})
+
+
+def sheet_order():
+    """The order of the sheets: by page, then by section in lower case where rows have one, then by code."""
+    return Window.partitionBy("source_file").orderBy("page_number", "art_no", "line_no")
+
+
+def duplicates_summary(rows: DataFrame, most: int = 20) -> DataFrame:
+    """The codes of a document with most rows: how many, the best score, and how many rows each verdict has. rows: apply_duplicates."""
+    some = rows.filter(is_product()).groupBy("source_file", "art_no").agg(
+        F.count("*").alias("n_rows"), F.max("row_score").alias("best_score"), F.min_by(F.substring("line", 1, 160), "dup_rank").alias("best_line"),
+        *[F.count_if(F.col("dup_verdict") == v).alias(v) for v in ("technical_sheet_line", "header_noise_conflict", "real_price_conflict")],
+    )
+    w = Window.partitionBy("source_file").orderBy(F.col("n_rows").desc(), "art_no")
+    return some.filter("n_rows > 1").withColumn("dup_order", F.row_number().over(w)).filter(F.col("dup_order") <= most)
+
+
 def duplicate_conflicts(rows: DataFrame) -> DataFrame:
     """Codes of a document with more than one name and price. A missing price counts as a value of its own."""
     variant = F.struct(F.lower(F.btrim("name")), F.coalesce(F.col("price").cast("string"), F.lit("")))

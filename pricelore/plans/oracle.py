@@ -71,11 +71,13 @@ t1 AS (SELECT *, {has('cleaned', rx.PRICE_TOKEN)} AS price, {year('cleaned', 'to
   {code('token')} AS code, {plausible('token')} AS plausible FROM t0),
 t2 AS (SELECT *, unit0 OR coalesce(lag(unit0) OVER w, false) OR coalesce(lag(unit0, 2) OVER w, false) OR coalesce(lead(unit0) OVER w, false) OR coalesce(lead(unit0, 2) OVER w, false) AS unit,
   inside OR coalesce(lag(currency) OVER w, false) OR coalesce(lead(currency) OVER w, false) AS near,
-  is_number AND NOT dimension AND coalesce(lead(is_x) OVER w, false) AND coalesce(lead(is_number, 2) OVER w, false) AS cross0, is_label AND coalesce(lead(is_number) OVER w, false) AS label0
+  CASE WHEN is_number AND NOT dimension AND coalesce(lead(is_x) OVER w, false) AND coalesce(lead(is_number, 2) OVER w, false) THEN
+    CASE WHEN coalesce(lead(is_x, 3) OVER w, false) AND coalesce(lead(is_number, 4) OVER w, false) THEN 5 + CAST(coalesce(lead(is_unit, 5) OVER w, false) AS INT) ELSE 3 + CAST(coalesce(lead(is_unit, 3) OVER w, false) AS INT) END
+   WHEN is_label AND coalesce(lead(is_number) OVER w, false) THEN 2 + CAST(coalesce(lead(is_unit, 2) OVER w, false) AS INT) ELSE 0 END AS span
  FROM t1 WINDOW w AS (PARTITION BY {KEY} ORDER BY i)),
-t3 AS (SELECT *, dimension OR cross0 OR coalesce(lag(cross0) OVER w, false) OR coalesce(lag(cross0, 2) OVER w, false) OR label0 OR coalesce(lag(label0) OVER w, false)
-   OR is_unit AND (coalesce(lag(cross0, 3) OVER w, false) OR coalesce(lag(label0, 2) OVER w, false)) AS consumed
- FROM t2 WINDOW w AS (PARTITION BY {KEY} ORDER BY i))"""
+ts0 AS (SELECT {KEY}, list([{{'a': i, 'z': i + span}}] ORDER BY i) AS ss FROM t2 WHERE span > 0 GROUP BY ALL),
+ts1 AS (SELECT {KEY}, list_reduce(ss, lambda done, s: CASE WHEN s[1].a >= done[-1].z THEN list_concat(done, s) ELSE done END) AS taken FROM ts0),
+t3 AS (SELECT t2.*, span > 0 AS cross0, false AS label0, dimension OR coalesce(len(list_filter(taken, lambda s: s.a <= i AND i < s.z)) > 0, false) AS consumed FROM t2 LEFT JOIN ts1 USING ({KEY}))"""
 INFO = f"""{TOKENS},
 c0 AS (SELECT {KEY}, line, regexp_matches(line, {q(rx.CURRENCY)}) AS has_currency FROM cat),
 ca AS (SELECT {KEY}, i, cleaned, number, CASE WHEN has_currency THEN 3 ELSE 0 END + {POINTS} AS score FROM t3 JOIN c0 USING ({KEY}) WHERE NOT unit AND price AND NOT year AND number IS NOT NULL),
@@ -106,7 +108,7 @@ r1 AS (SELECT *, CASE WHEN price IS NOT NULL THEN top_token ELSE '' END AS price
 r2 AS (SELECT *, coalesce(list_filter(codes, lambda x: price_raw = '' OR x <> price_raw)[1], '') AS code_raw FROM r1),
 r3 AS (SELECT *, CASE WHEN code_raw = '' OR instr(line, code_raw) = 0 THEN line ELSE substr(line, 1, instr(line, code_raw) - 1) || ' ' || substr(line, instr(line, code_raw) + length(code_raw)) END AS n1 FROM r2),
 r4 AS (SELECT *, CASE WHEN price_raw = '' OR instr(n1, price_raw) = 0 THEN n1 ELSE substr(n1, 1, instr(n1, price_raw) - 1) || ' ' || substr(n1, instr(n1, price_raw) + length(price_raw)) END AS n2 FROM r3),
-rw AS (SELECT r4.* EXCLUDE (n1, n2), trim(regexp_replace(n2, '\\s{{2,}}', ' ', 'g')) AS name, {code('code_raw')} AS art_no, coalesce(n_prices, 0) AS n_prices, largest, coalesce(n_codes, 0) AS n_codes, best_price, best_code, coalesce(resolved_name, '') AS resolved_name
+rw AS (SELECT r4.* EXCLUDE (n1, n2), CASE WHEN trim(regexp_replace(n2, '\\s{{2,}}', ' ', 'g')) = '' THEN coalesce(resolved_name, '') ELSE trim(regexp_replace(n2, '\\s{{2,}}', ' ', 'g')) END AS name, CASE WHEN {code('code_raw')} = '' THEN coalesce(best_code, '') ELSE {code('code_raw')} END AS art_no, coalesce(n_prices, 0) AS n_prices, largest, coalesce(n_codes, 0) AS n_codes, best_price, best_code, coalesce(resolved_name, '') AS resolved_name
   FROM r4 LEFT JOIN pl USING ({KEY}) LEFT JOIN dl USING ({KEY}) LEFT JOIN nm USING ({KEY}))"""
 VALID = valid("art_no")
 JUDGED = f"""{ROWS},
@@ -131,16 +133,17 @@ jd AS (SELECT *,
    WHEN is_header THEN 'header_like_strict' WHEN art_no = '' THEN 'missing_art_no' WHEN regexp_matches(art_no, '^[0-9]+$') AND (dimension_line OR has_dimension_candidate) THEN 'numeric_dimension_artno'
    WHEN NOT ok THEN 'hard_art_no' ELSE '' END AS hard_reason,
   greatest(0.0::DOUBLE, least(1.0::DOUBLE, 1.0::DOUBLE - (CASE WHEN art_no = '' THEN 0.8::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN name = '' THEN 0.4::DOUBLE ELSE 0.0::DOUBLE END + CASE WHEN price IS NULL THEN 0.2::DOUBLE ELSE 0.0::DOUBLE END))) AS confidence FROM j0),
-sc AS (SELECT *, confidence < 0.75 OR art_no = '' OR name = '' AS review0, hard_reason <> '' AND hard_reason <> 'hard_legal' AS blocked, ok AND price IS NOT NULL AS keeps FROM jd),
-ex AS (SELECT * EXCLUDE (review0, blocked, keeps), NOT blocked AND (keeps OR hard_reason = '') AS exported, CASE WHEN blocked THEN true WHEN keeps THEN false ELSE review0 OR hard_reason <> '' OR price IS NULL END AS needs_review,
-  array_to_string(list_filter([CASE WHEN hard_reason <> '' THEN hard_reason END, CASE WHEN price IS NULL THEN 'missing_price_eur' END, CASE WHEN name = '' THEN 'missing_product_name' END, CASE WHEN art_no = '' THEN 'missing_art_no' END], lambda x: x IS NOT NULL), '; ') AS notes
-  FROM sc WHERE discard_reason = '' AND noise_class = ''),
+sc AS (SELECT * REPLACE (CASE WHEN hard_reason IN ('hard_legal', 'dim_only_row', 'header_like_strict') THEN least(confidence, 0.3::DOUBLE) ELSE confidence END AS confidence), ok AND price IS NOT NULL AND hard_reason NOT IN ('missing_art_no', 'hard_art_no', 'numeric_dimension_artno', 'dim_only_row', 'header_like_strict') AS exported FROM jd),
+ex AS (SELECT *, NOT exported AS needs_review, concat_ws('; ', CASE WHEN dimension_line THEN 'dimension_line' END, CASE WHEN NOT price_like THEN 'no_price_like' END, CASE WHEN art_no = '' THEN 'missing_art_no' END, CASE WHEN name = '' THEN 'missing_product_name' END, CASE WHEN price IS NULL THEN 'missing_price_eur' END,
+  CASE WHEN has_dimension_candidate THEN 'dim_detected' END, CASE WHEN n_prices > 0 THEN 'price_detected' END, CASE WHEN n_codes > 0 THEN 'artno_detected' END, CASE WHEN NOT ok THEN 'invalid_chunk_missing_art_no' END, CASE WHEN n_prices = 0 AND n_codes = 0 THEN 'no_price_no_artno' END,
+  CASE WHEN hard_reason NOT IN ('', 'missing_art_no') OR hard_reason = 'missing_art_no' AND art_no <> '' THEN hard_reason END, CASE WHEN NOT (price IS NOT NULL OR price_like OR n_prices > 0) THEN 'partial_export_weak_signal' END, CASE WHEN NOT ok AND art_no <> '' THEN 'missing_art_no' END, CASE WHEN price IS NULL THEN 'missing_price' END,
+  CASE WHEN exported AND dimension_line THEN 'SOFT_REVIEW:dimension_line' END) AS notes FROM sc WHERE discard_reason = '' AND noise_class = ''),
 du AS (SELECT *, row_number() OVER (PARTITION BY source_file, art_no ORDER BY row_score DESC, page_number, line_no) AS dup_rank FROM (SELECT *,
   CASE WHEN name <> '' THEN 3 ELSE 0 END + CASE WHEN price IS NOT NULL OR price_like THEN 4 ELSE 0 END + CASE WHEN has_currency THEN 2 ELSE 0 END - CASE WHEN dimension_line THEN 3 ELSE 0 END
   - CASE WHEN len(string_split_regex(line, '\\s+')) > 10 AND NOT price_like THEN 2 ELSE 0 END - CAST(needs_review AS INT) - CAST(NOT exported AS INT) AS row_score FROM ex WHERE ok))"""
 PAGES = f"""{INFO},
 co AS (SELECT *, max(CAST(price_like AS INT)) OVER (PARTITION BY source_file, page_number ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) = 1 AND code_hits > 0 AS row_candidate, price_like AND code_hits > 0 AS cooccurs FROM li),
-p0 AS (SELECT source_file, page_number, count(*) AS n_lines, sum(length(regexp_replace(line, '[^0-9]', '', 'g'))) AS digits, sum(length(line)) AS chars, sum(CAST(price_like AS INT)) AS price_like_count, sum(code_hits) AS mixed_code_count,
+p0 AS (SELECT source_file, page_number, count(*) AS n_lines, sum(length(regexp_replace(line, '[^0-9²³¹]', '', 'g'))) AS digits, sum(length(line)) AS chars, sum(CAST(price_like AS INT)) AS price_like_count, sum(code_hits) AS mixed_code_count,
   sum(CAST(cooccurs AS INT)) AS cooccurrence_count, sum(CAST(row_candidate AS INT)) AS row_candidate_count, sum(len(regexp_extract_all(line, '€|\\b(?:EUR|DKK|SEK|NOK|USD|GBP|CHF|JPY|CAD|AUD)\\b'))) AS currency_tokens,
   sum(len(pairs)) AS pair_count, sum(year_hits) AS year_hits, sum(short_numbers) AS short_numbers, sum(plausible_tokens) AS plausible_tokens, sum(CAST(len(regexp_extract_all(line, '[0-9]+(?:[.,][0-9]+)?')) >= 2 AS INT)) AS numeric_lines,
   {' + '.join(f"max(CAST({has('line', p)} AS INT))" for p in rx.LEGAL)} AS legal_hits, {' + '.join(f"max(CAST(contains(lower(line), {q(w)}) AS INT))" for w in rx.PAGE_LEGAL_WORDS)} AS page_legal_words,
@@ -193,7 +196,7 @@ def oracle_sql() -> dict[str, str]:
         "products": f"{JUDGED} SELECT {KEY}, art_no, name, price, confidence, notes FROM ex WHERE exported",
         "review": f"{JUDGED} SELECT {KEY}, art_no, name, price, confidence, notes FROM ex WHERE needs_review OR NOT exported",
         "guardrail_counts": f"{JUDGED} SELECT hard_reason, noise_class, count(*) AS n FROM jd GROUP BY ALL",
-        "review_reasons": f"{JUDGED} SELECT note, count(*) AS n FROM (SELECT unnest(string_split(notes, '; ')) AS note FROM ex WHERE needs_review OR NOT exported) WHERE note <> '' GROUP BY 1 ORDER BY n DESC, note LIMIT 20",
+        "review_reasons": f"{JUDGED} SELECT note, count(*) AS n FROM (SELECT unnest(string_split(CASE WHEN notes = '' THEN 'unspecified' ELSE notes END, '; ')) AS note FROM ex WHERE needs_review OR NOT exported) WHERE note <> '' GROUP BY 1 ORDER BY n DESC, note LIMIT 20",
         "dedup_best": f"{JUDGED} SELECT {KEY}, art_no, CAST(row_score AS INT) AS row_score, CAST(dup_rank AS INT) AS dup_rank, CASE WHEN dup_rank = 1 THEN 'best' WHEN NOT (price_like OR price IS NOT NULL) THEN 'technical_sheet_line' WHEN is_header THEN 'header_noise_conflict' ELSE 'real_price_conflict' END AS dup_verdict FROM du",
         "duplicate_conflicts": f"{JUDGED} SELECT source_file, art_no, count(*) AS n_rows, count(DISTINCT (lower(trim(name)), coalesce(CAST(price AS VARCHAR), ''))) AS n_variants FROM ex WHERE ok GROUP BY ALL HAVING count(*) > 1",
         "parser_metrics": f"{JUDGED}, m AS (SELECT source_file, count(*) AS n_rows, count(DISTINCT CASE WHEN art_no <> '' THEN art_no END) AS n_codes, CAST(sum(CAST(art_no <> '' AND price IS NOT NULL AS INT)) AS BIGINT) AS n_key, CAST(sum(CAST(needs_review AS INT)) AS BIGINT) AS n_review FROM ex GROUP BY 1), k AS (SELECT *, CAST(n_codes AS DOUBLE) / n_rows AS unique_code_ratio, CAST(n_key AS DOUBLE) / n_rows AS key_fields_rate, CAST(n_review AS DOUBLE) / n_rows AS review_rate FROM m) SELECT *, key_fields_rate + 0.6::DOUBLE * unique_code_ratio - 0.5::DOUBLE * CASE WHEN n_review = 0 THEN 1.0::DOUBLE ELSE review_rate END AS run_score, n_rows >= 5 AND unique_code_ratio >= 0.15::DOUBLE AND key_fields_rate >= 0.5::DOUBLE AS ok FROM k",

@@ -11,49 +11,29 @@ from pricelore.operators import lines as ln
 from pricelore.operators import pages as pg
 from pricelore.operators import reports as rp
 from pricelore.operators import rows as rw
-from pricelore.plans.oracle import oracle_sql
+from pricelore.plans import oracle, reading
 from pricelore.sources.catalog import catalog_lines
 
 __all__ = ["oracle_sql", "queries"]
 KEY = ("source_file", "page_number", "line_no")
 
 
-_PLANS: dict[tuple, DataFrame] = {}
-
-
-def planned(f):
-    """f, with its plan made once for a session and folder: plans hold no data, but long ones take seconds to analyse."""
-
-    def own(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (f.__name__, spark.sparkContext.applicationId, id(spark), sf_dir)
-        if key not in _PLANS:
-            _PLANS[key] = f(spark, sf_dir)
-        return _PLANS[key]
-
-    return own
-
-
-@planned
 def info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.line_info(catalog_lines(spark, sf_dir))
 
 
-@planned
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.parse_rows(info(spark, sf_dir))
 
 
-@planned
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.hard_validation(rw.noise_class(rw.discard_reason(parsed(spark, sf_dir))))
 
 
-@planned
 def exported(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rw.export_rows(parsed(spark, sf_dir))
 
 
-@planned
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pg.page_signals(info(spark, sf_dir))
 
@@ -76,6 +56,10 @@ def known_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.explode(F.split(F.lower("p_type"), " ")).alias("word")).distinct()
 
 
+def oracle_sql() -> dict[str, str]:
+    return oracle.oracle_sql() | reading.oracle_sql()
+
+
 def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -128,5 +112,4 @@ def queries():
         "table_metrics": lambda a, d: pg.table_metrics(words(a, d)),
         "stitch_pairs": lambda a, d: pg.stitch_pairs(words(a, d)),
         "line_clusters": lambda a, d: pg.cluster_lines(words(a, d)),
-        "run_report": lambda a, d: rp.run_report(x(a, d)),
-    }
+    } | reading.queries(info, parsed, judged, exported, signals, words)

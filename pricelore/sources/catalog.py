@@ -35,7 +35,7 @@ SELECT source_file, page_number, line_no,
   WHEN k % 16 = 10 THEN '100 2026 EUR 101 2026 EUR 102 2026 EUR'
   WHEN k % 16 = 11 THEN 'Terms and conditions; warranty and liability apply: ' || p_name
   WHEN k % 16 = 12 THEN 'Code Description Price'
-  WHEN k % 16 = 13 THEN 'Weight kg 177,16'
+  WHEN k % 16 = 13 THEN 'Weight kg 93,40'
   WHEN k % 16 = 14 THEN '1 × corner ' || code || ' 2 × central Z' || code
   WHEN k % 16 = 15 THEN code || ' ' || p_name || ' DKK ' || price || ' EUR ' || sz || ',50'
   ELSE code || ' ' || p_name || ' EUR ' || price END AS line

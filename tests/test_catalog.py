@@ -14,34 +14,34 @@ def judged(spark, *texts):
 
 def test_lines(spark):
     known = {
-        "AB1234 Lounge chair EUR 350": ("", ""),
-        "2026 EUR": (None, None),
-        "100 2026 EUR 101 2026 EUR": ("noise_toc_line", None),
-        "Gian & Pan 103": ("noise_index", None),
-        "EUR 1": ("noise_price_only", None),
-        "Peso L1 5.160": ("noise_weight_dim", None),
-        "1 × corner module 0BTTEA110 2 × central module 0BTTEL110": ("noise_composition", None),
-        "0BTTEL110 EUR 1": ("noise_header_eur1", None),
-        "Ai sensi dell'articolo 12 della Direttiva 2003/35/EC EUR 120": (None, "hard_legal"),
-        "1150 prof. prof. EUR 1400": (None, "dim_only_row"),
+        "QX4471 Garden bench EUR 310": ("", ""),
+        "2025 EUR": (None, None),
+        "40 2024 EUR 41 2024 EUR": ("noise_toc_line", None),
+        "Tom & Lou 88": ("noise_index", None),
+        "EUR 2": ("noise_price_only", None),
+        "Peso L2 4.070": ("noise_weight_dim", None),
+        "3 × end unit 7QXRA220 1 × middle unit 7QXRM220": ("noise_composition", None),
+        "7QXRM220 EUR 2": ("noise_header_eur1", None),
+        "Secondo l'articolo 9 della Direttiva 1999/44/EC EUR 80": (None, "hard_legal"),
+        "870 larg. larg. EUR 960": (None, "dim_only_row"),
     }
     rows = judged(spark, *known)
     for row, (noise, hard) in zip(rows, known.values()):
         assert noise is None or row.noise_class == noise, row.line
         assert hard is None or row.hard_reason == hard, row.line
     by = {r.line: r for r in rows}
-    assert by["2026 EUR"].price_candidates == []
-    assert by["AB1234 Lounge chair EUR 350"].art_no == "AB1234" and by["AB1234 Lounge chair EUR 350"].price == 350.0
+    assert by["2025 EUR"].price_candidates == []
+    assert by["QX4471 Garden bench EUR 310"].art_no == "QX4471" and by["QX4471 Garden bench EUR 310"].price == 310.0
 
 
 def test_codes_that_are_none(spark):
-    for row in judged(spark, "LED 2700K.", "L1", "27W", "E27/E26", "T02/T03", "E", "1381 Sample chair EUR 120"):
+    for row in judged(spark, "LED 4000K.", "M2", "35W", "E14/E12", "T05/T08", "K", "2290 Plain stool EUR 75"):
         assert row.code_candidates == [] and row.art_no == "", row.line
-    assert judged(spark, "Weight kg 177,16")[0].price_candidates == []
+    assert judged(spark, "Weight kg 93,40")[0].price_candidates == []
 
 
 def test_contents_page(spark):
-    lines = spark.createDataFrame([("d", p, i, t) for p, texts in enumerate((["100 2026 EUR", "101 2026 EUR", "102 2026 EUR"], ["AB12-34 Sofa 200 2026 EUR", "AB12-35 Sofa 201 2026 EUR", "AB12-36 Sofa 202 2026 EUR"])) for i, t in enumerate(texts)], "source_file string, page_number int, line_no int, line string")
+    lines = spark.createDataFrame([("d", p, i, t) for p, texts in enumerate((["40 2024 EUR", "41 2024 EUR", "42 2024 EUR"], ["QX44-71 Bench 310 2024 EUR", "QX44-72 Bench 311 2024 EUR", "QX44-73 Bench 312 2024 EUR"])) for i, t in enumerate(texts)], "source_file string, page_number int, line_no int, line string")
     hard, soft = pg.page_signals(ln.line_info(lines)).orderBy("page_number").collect()
     assert hard.toc_hard and soft.toc_like and not soft.toc_hard
 
@@ -78,3 +78,15 @@ def test_page_ranges():
 def test_page_lines(spark):
     pages = spark.createDataFrame([("d", 1, " a  b \n\nc-\nd\tø"), ("d", 2, None)], "source_file string, page_number int, text string")
     assert [r.line for r in page_lines(pages).orderBy("line_no").collect()] == ["a b", "cd o"]
+
+
+def test_dimensions_are_taken_from_the_left(spark):
+    """n x n x n is one dimension; of four numbers the last stands alone. A label and a number go with their unit."""
+    rows = judged(spark, "10 x 20 x 30 x 40", "H 45 cm 7 x 8", "W 12 H 3 mm", "5 x 6 x 7 cm 9")
+    taken = [[t.token for t in r.toks if t.consumed] for r in rows]
+    assert taken == [["10", "x", "20", "x", "30"], ["H", "45", "cm", "7", "x", "8"], ["W", "12", "H", "3", "mm"], ["5", "x", "6", "x", "7", "cm"]]
+
+
+def test_units_of_area_and_contents_with_euro_signs(spark):
+    rug, pairs = judged(spark, "Rug 120 m² wool", "40 2024 €1 41 2024 €1 x")
+    assert rug.dimension_line and not rug.price_like and pairs.toc_pairs == ["40", "41"]
