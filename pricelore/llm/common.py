@@ -97,6 +97,15 @@ def unpack(body: bytes, types: tuple[str | int, ...]) -> list[np.ndarray]:
     return out
 
 
+#: Rows of a few bytes that are broadcast at most.
+MOST_BROADCAST = 500_000
+
+
+def small(df: DataFrame) -> DataFrame | None:
+    """df marked for a broadcast, if its rows, narrow ones, are few enough; they are counted. Else None."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else None
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are stored: it does once their plans are collected, which takes
     more than one round, as plans are let go here first and there later."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, mixing, packs, secrets, sharding, simhash, substring, tokens, topk, toxicity
-from .common import shared_folder, ship, stored, table
+from .common import shared_folder, ship, small, stored, table
 
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -28,8 +28,11 @@ def with_quality(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """rows with __weight, a document's weight in the mix: 1 if its label says good, 0.5 if bad, 0.75 where it has none. Of several
     labels of an id the best counts."""
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__labelled")).agg(F.max("quality").alias("__quality"))
+    few = small(known)
     weight = F.when(F.col("__quality") == 1, 1.0).when(F.col("__quality") == 0, 0.5).otherwise(0.75)
-    return rows.join(known, F.col("doc_id") == F.col("__labelled"), "left").withColumn("__weight", weight).drop("__labelled", "__quality")
+    out = rows.join(known if few is None else few, F.col("doc_id") == F.col("__labelled"), "left").withColumn("__weight", weight).drop("__labelled", "__quality")
+    # A mix reads its rows three times: where they have been shuffled for the join, once is enough.
+    return stored(out, "weighted") if few is None else out
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

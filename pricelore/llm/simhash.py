@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.window import Window
 
-from .common import batch_of, shared_folder, stored, texts_of
+from .common import batch_of, released, shared_folder, small, stored, texts_of
 
 MOST_BITS = 3
 SHARED_BYTES = 8 - MOST_BITS
@@ -281,8 +282,16 @@ def _closest(own: np.ndarray, label: np.ndarray, least: int) -> tuple[np.ndarray
     return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
 
 
-def sketch_candidates(nodes: DataFrame, similarity: float, labels: DataFrame | None = None) -> DataFrame:
-    """Of distinct __node, __sketch and __bands: pairs a < b of nodes that share a band and whose sketches are near enough.
+def sketch_lists(nodes: DataFrame) -> DataFrame:
+    """Of distinct __node, __sketch and __bands: __key, __node and __sketch of the lists that two nodes or more share, as a stored table. Keys
+    travel without sketches first, as most lists hold one node."""
+    keys = nodes.select("__node", F.explode("__bands").alias("__key"))
+    shared = keys.withColumn("__n", F.count("*").over(Window.partitionBy("__key"))).filter("__n > 1").select("__key", "__node")
+    return stored(shared.join(nodes.select("__node", "__sketch"), "__node"), "lists")
+
+
+def sketch_candidates(lists: DataFrame, similarity: float, labels: DataFrame | None = None) -> DataFrame:
+    """Of sketch_lists: pairs a < b of nodes that share a list and whose sketches are near enough.
 
     Without labels a list gives the steps of a search through it, fewer than it has members. With labels (__labelled, __label), the
     classes that have been found so far, it gives pairs of different classes. A list's members are compared in one task; copies have
@@ -290,9 +299,9 @@ def sketch_candidates(nodes: DataFrame, similarity: float, labels: DataFrame | N
     """
     least = least_equal(similarity)
     if labels is not None:
-        nodes = nodes.join(labels, F.col("__node") == F.col("__labelled"), "left")
+        lists = lists.join(labels, F.col("__node") == F.col("__labelled"), "left")
     label = F.lit(None).cast("bigint") if labels is None else F.coalesce("__label", "__node")
-    lists = nodes.select("__node", "__sketch", F.explode("__bands").alias("__key"), label.alias("__label")).repartition("__key").sortWithinPartitions("__key", "__node")
+    lists = lists.select("__node", "__sketch", "__key", label.alias("__label")).repartition("__key").sortWithinPartitions("__key", "__node")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -330,7 +339,13 @@ def sketch_candidates(nodes: DataFrame, similarity: float, labels: DataFrame | N
 
 
 def exact_links(candidates: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
-    """Of pairs a, b those whose sets of shingles have that Jaccard similarity or more. bodies: __node and __body."""
+    """Of pairs a, b those whose sets of shingles have that Jaccard similarity or more. bodies: __node and __body, of a node any that
+    it has."""
+    candidates = stored(candidates, "candidates")
+    nodes = candidates.select(F.col("a").alias("__asked")).unionAll(candidates.select("b")).distinct()
+    if (few := small(nodes)) is not None:  # else texts without candidates go along
+        bodies = bodies.join(few, F.col("__node") == F.col("__asked"), "left_semi")
+    bodies = bodies.groupBy("__node").agg(F.first("__body").alias("__body"))
     of = lambda side: bodies.select(F.col("__node").alias(f"__{side}"), F.col("__body").alias(f"__body_{side}"))
     both = candidates.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).select("a", "b", "__body_a", "__body_b")
 
@@ -409,18 +424,20 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         fps = fps.withColumn("__node", F.col("__fp"))
         edges = links(fps.select("__fp").distinct(), most_bits)
     else:
-        bodies = fps.groupBy("__node").agg(F.first("__body").alias("__body"))
+        bodies = fps.select("__node", "__body")
         nodes = fps.groupBy("__node").agg(F.first("__sketch").alias("__sketch"), F.first("__bands").alias("__bands"))
         least = fps.groupBy("__fp").agg(F.min("__node").alias("__least")).checkpoint()
         of = lambda side: least.select(F.col("__fp").alias(side), F.col("__least").alias(f"__{side}"))
         by_bits = links(least.select("__fp"), most_bits).join(of("a"), "a").join(of("b"), "b").select(F.col("__a").alias("a"), F.col("__b").alias("b"))
         same = fps.select("__fp", "__node").distinct().join(least, "__fp").filter(F.col("__node") != F.col("__least")).select(F.col("__node").alias("a"), F.col("__least").alias("b"))
         by_bits = by_bits.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        edges = stored(exact_links(by_bits.unionByName(sketch_candidates(nodes, similarity)).distinct(), bodies, shingle_words, similarity), "links")
+        lists = sketch_lists(nodes)
+        edges = stored(exact_links(by_bits.unionByName(sketch_candidates(lists, similarity)).distinct(), bodies, shingle_words, similarity), "links")
         # A candidate that fails may have stood between texts that other pairs would link.
         labels = components(edges).select(F.col("node").alias("__labelled"), F.col("root").alias("__label"))
-        more = exact_links(sketch_candidates(nodes, similarity, labels), bodies, shingle_words, similarity)
+        more = exact_links(sketch_candidates(lists, similarity, labels), bodies, shingle_words, similarity)
         edges = stored(edges.unionByName(more), "links")
+        released(df.sparkSession)
     firsts = fps.groupBy("__node").agg(F.min(id_col).alias("__first"))
     roots = components(edges).checkpoint()
     smallest = roots.join(firsts, roots.node == firsts["__node"]).groupBy("root").agg(F.min("__first").alias("__least"))
