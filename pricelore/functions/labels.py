@@ -87,7 +87,11 @@ def terms(dictionary: dict) -> list[str]:
 
 def language(word: Column) -> Column:
     """The first language that a word hints at."""
-    return F.coalesce(*[F.when(word.isin(*words), name) for name, words in rx.LANGUAGE_HINTS.items()], F.lit("unknown"))
+    first: dict[str, str] = {}
+    for name, words in rx.LANGUAGE_HINTS.items():
+        for w in words:
+            first.setdefault(w, name)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in first.items() for x in pair]), word), F.lit("unknown"))
 
 
 def field_of(word: Column) -> Column:
