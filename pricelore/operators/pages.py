@@ -182,16 +182,15 @@ def stitch_pairs(words: DataFrame) -> DataFrame:
 
 
 def cluster_lines(words: DataFrame, tolerance: float = 3.0) -> DataFrame:
-    """Words of a page in clusters by height: a word begins a new one if it is farther than tolerance from the running
-    middle of the cluster. The middle depends on the order, so each page's words are folded over in order."""
-    page = words.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))).alias("w"))
-    start = F.struct(F.lit(None).cast("double").alias("mid"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("ids"))
-
-    def step(s, x):
-        new = s["mid"].isNull() | (F.abs(x["top"] - s["mid"]) > tolerance)
-        n = s["n"] + new.cast("int")
-        return F.struct(F.when(new, x["top"]).otherwise((s["mid"] + x["top"]) / 2).alias("mid"), n.alias("n"), F.concat(s["ids"], F.array(n)).alias("ids"))
-
-    ids = page.withColumn("ids", F.aggregate("w", start, step, lambda s: s["ids"]))
-    flat = ids.select(*PAGE, F.explode(F.arrays_zip("w", "ids")).alias("z")).select(*PAGE, F.col("z.ids").alias("cluster"), F.col("z.w.x0").alias("x0"), F.col("z.w.text").alias("text"))
-    return flat.groupBy(*PAGE, "cluster").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda x: x["text"]), " ").alias("line"))
+    """The words of a page as lines, by height: see tables.clusters."""
+    from pricelore.operators.tables import clusters
+
+    in_order = F.transform(F.array_sort(F.transform("words", lambda w: F.struct(w["x0"].alias("x0"), w["text"].alias("text")))), lambda w: w["text"])
+    return clusters(words, tolerance).select(*PAGE, "cluster", F.array_join(in_order, " ").alias("line"))
+
+
+def currency_counts(lines: DataFrame) -> DataFrame:
+    """How often each document names each currency; the euro sign counts by itself."""
+    names = F.regexp_extract_all("line", F.lit(r"€|\b(?:" + "|".join(rx.CURRENCIES) + r")\b"), F.lit(0))
+    one = lines.select("source_file", F.explode(names).alias("c")).withColumn("currency", F.when(F.col("c") == "€", "EUR_symbol").otherwise(F.col("c")))
+    return one.groupBy("source_file", "currency").agg(F.count("*").alias("n"))

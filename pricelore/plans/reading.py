@@ -79,6 +79,13 @@ def queries(info, parsed, judged, exported, signals, words):
         known = lb.patterns(lb.DEFAULT)
         return lines(a, d).groupBy("source_file").agg(*[F.sum(lb.hits(F.col("line"), f, known)).alias(f) for f in sorted(known)])
 
+    def corpus(a, d):
+        own = documents(a, d).withColumn("numeric_density", F.round("numeric_density", 4))
+        counts = pg.currency_counts(lines(a, d)).groupBy("source_file").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("currency", "n")))).alias("currency_counts"))
+        looked = lines(a, d).groupBy("source_file").agg(F.max("page_number").alias("page_count"), F.array_sort(F.collect_set("page_number")).alias("pages_sampled"), F.sum(F.regexp_count("line", F.lit(r"(?i)\bsize\b"))).alias("size_count"))
+        own = own.join(looked, "source_file").join(counts, "source_file", "left").withColumns({"recommended_parser": F.col("parser"), "numeric_line_ratio": F.lit(0.0), "table_score": F.col("table_columns").cast("double")})
+        return rp.corpus_report(rp.risk_flags(own))
+
     def sheet(a, d):
         visible = deduped(a, d).filter("NOT noise")
         return visible.select(*KEY, "art_no", "name", "price", "exported", "needs_review", "notes", F.row_number().over(rw.sheet_order()).alias("sheet_row"))
@@ -116,6 +123,9 @@ def queries(info, parsed, judged, exported, signals, words):
         "discard_samples": lambda a, d: rp.discard_samples(judged(a, d)),
         "risk_flags": lambda a, d: rp.risk_flags(documents(a, d)).select("source_file", "n_pages_read", "text_len", "risk_flags"),
         "document_groups": lambda a, d: rp.document_groups(documents(a, d)).select("group_id", "size", "avg_table_columns", "avg_marker_score", "avg_price_count", "examples"),
+        "currency_counts": lambda a, d: pg.currency_counts(lines(a, d)),
+        "corpus_report": corpus,
+        "run_summary": lambda a, d: rp.run_summary(ch.best_runs(tried(a, d), triage(a, d)).select("final_status", "rows_exported", F.lit(0).alias("review_rows"), F.lit(False).alias("suspicious_numeric_art_no_seen"))),
         "label_hits": label_hits,
         "label_candidates": lambda a, d: rp.label_candidates(lines(a, d).withColumn("line", F.upper("line"))),
         "header_candidates": lambda a, d: rp.header_candidates(gapped(a, d)),
@@ -243,8 +253,7 @@ td AS (SELECT * FROM (SELECT *, coalesce(max(CAST(great AS INT)) OVER (PARTITION
 
 
 def oracle_sql() -> dict[str, str]:
-    B = o.B
-    return {
+    return more_sql() | {
         "marker_blocks": f"{BLOCKS} SELECT {K}, part, block FROM blk",
         "titled_blocks": f"{o.CATALOG}, rl AS (SELECT {K}, regexp_replace(line, '(?i)\\*\\*\\s*RRP', 'RRP', 'g') AS line FROM cat), {titled('rl')} SELECT {K}, block FROM titled",
         "code_price_blocks": f"{o.INFO} SELECT {K}, 0 AS part, line AS block FROM li WHERE NOT (NOT regexp_matches(line, {o.q(rx.COLUMN_PRICE)}) AND regexp_matches(line, '(?i)\\b(?:code|description|price)\\b')) AND (price_like OR code_hits > 0)",
@@ -283,3 +292,57 @@ FROM l LEFT JOIN y USING (source_file) LEFT JOIN w USING (source_file) LEFT JOIN
         "raw_block_ids": f"{BLOCKS} SELECT {K}, part, sha1(CAST(page_number AS VARCHAR) || ':' || block) AS raw_block_id FROM blk",
         "section_lines": f"{o.CATALOG}, a AS (SELECT *, line = 'Lounge Collection' AND row_number() OVER (PARTITION BY {P}, line ORDER BY line_no) = 1 AS gone FROM cat) SELECT {P}, CAST(row_number() OVER (PARTITION BY {P} ORDER BY line_no) - 1 AS INT) AS line_no, line FROM a WHERE NOT gone",
     }
+
+TABLE_METRICS = f"""twb AS (SELECT {P}, floor(x0 / 20) AS xb, floor(top / 5) AS yb, regexp_matches(text, '[0-9]') AS numeric FROM wd), twc AS (SELECT {P}, xb FROM twb GROUP BY ALL HAVING count(*) >= 10),
+tws AS (SELECT {P}, yb, count(DISTINCT xb) AS n FROM twb SEMI JOIN twc USING ({P}, xb) WHERE numeric GROUP BY ALL), twr AS (SELECT {P}, sum(CAST(n >= 2 AS INT)) AS t FROM tws GROUP BY ALL), twy AS (SELECT {P}, count(DISTINCT yb) AS n_lines FROM twb GROUP BY ALL), tww AS (SELECT {P}, count(*) AS n_columns FROM twc GROUP BY ALL),
+twm AS (SELECT {P}, coalesce(n_columns, 0) AS n_columns, CAST(coalesce(t, 0) AS DOUBLE) / n_lines AS numeric_line_ratio FROM twy LEFT JOIN tww USING ({P}) LEFT JOIN twr USING ({P}))"""
+MONEY = "€|\\b(?:" + "|".join(rx.CURRENCIES) + ")\\b"
+FIELD_OF = """CASE WHEN regexp_matches(term, '^(?:art)') THEN 'art_no' WHEN regexp_matches(term, '^(?:rrp|list)') THEN 'rrp' WHEN regexp_matches(term, '^(?:coll|pack)') THEN 'colli' WHEN regexp_matches(term, '^(?:desig)') THEN 'designer' WHEN regexp_matches(term, '^(?:cod|item)') THEN 'code'
+ WHEN regexp_matches(term, '^(?:desc|name|prod)') THEN 'description' WHEN regexp_matches(term, '^(?:price|prezz)') OR term IN ('eur', 'dkk', 'sek', 'nok') THEN 'price' WHEN regexp_matches(term, '^(?:size|dim)') THEN 'size' ELSE '' END"""
+
+
+def more_sql() -> dict[str, str]:
+    """SQL of queries that put several steps together."""
+    triage = LIST(o.TRIAGE) if o.TRIAGE.startswith(o.CATALOG) else o.TRIAGE
+    return {
+        "currency_counts": f"{o.CATALOG}, a AS (SELECT source_file, unnest(regexp_extract_all(line, '{MONEY}')) AS c FROM cat) SELECT source_file, CASE WHEN c = '€' THEN 'EUR_symbol' ELSE c END AS currency, count(*) AS n FROM a GROUP BY ALL",
+        "run_summary": f"{CHOICE}, z AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY ok DESC, CASE WHEN ok THEN score END DESC, CASE WHEN ok THEN rows_exported END DESC, CASE WHEN ok THEN review_rate END, (parser = profile) DESC, eval_rows DESC, score DESC, way_rank) AS z FROM td WHERE ok OR eval_rows > 0) SELECT count(*) AS documents, count(*) FILTER (ok) AS converted, count(*) FILTER (NOT ok) AS review_only, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, CAST(sum(rows_exported) AS BIGINT) AS rows_exported, CAST(0 AS BIGINT) AS review_rows, false AS suspicious FROM z WHERE z = 1",
+        "run_scores": f"""{o.JUDGED}, m AS (SELECT source_file, count(*) AS n_rows, count(DISTINCT CASE WHEN art_no <> '' THEN art_no END) AS n_codes, CAST(sum(CAST(art_no <> '' AND price IS NOT NULL AS INT)) AS BIGINT) AS n_key, CAST(sum(CAST(needs_review AS INT)) AS BIGINT) AS n_review, count(*) FILTER (exported) AS n_out FROM ex GROUP BY 1),
+k AS (SELECT *, CAST(n_codes AS DOUBLE) / n_rows AS unique_code_ratio, CAST(n_key AS DOUBLE) / n_rows AS key_fields_rate, CAST(n_review AS DOUBLE) / n_rows AS review_rate FROM m),
+c AS (SELECT source_file, count(*) AS n FROM (SELECT source_file, art_no FROM ex WHERE ok GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT (lower(trim(name)), coalesce(CAST(price AS VARCHAR), ''))) > 1) GROUP BY 1),
+j AS (SELECT k.*, coalesce(c.n, 0) AS n_conflicts, CASE WHEN n_out > 0 THEN CAST(coalesce(c.n, 0) AS DOUBLE) / n_out ELSE 0.0::DOUBLE END AS duplicate_conflicts_rate FROM k LEFT JOIN c USING (source_file))
+SELECT * EXCLUDE (n_out), key_fields_rate + 0.6::DOUBLE * unique_code_ratio - 0.5::DOUBLE * CASE WHEN n_review = 0 THEN 1.0::DOUBLE ELSE review_rate END - 0.8::DOUBLE * duplicate_conflicts_rate AS run_score, n_rows >= 5 AND unique_code_ratio >= 0.15::DOUBLE AND key_fields_rate >= 0.5::DOUBLE AS ok FROM j""",
+        "triage_decisions": f"""{o.TOKENS}, {o.WORDS}, {triage}, {TABLE_METRICS},
+x AS (SELECT source_file, count(DISTINCT page_number) AS n_pages, CAST(sum(length(line)) + count(*) - count(DISTINCT page_number) AS BIGINT) AS text_len, CAST(sum({o.count('line', '€')}) AS BIGINT) AS euro_count FROM cat GROUP BY 1),
+w AS (SELECT source_file, max(n_columns) AS cols, sum(numeric_line_ratio) AS ratios FROM twm GROUP BY 1),
+a AS (SELECT tr1.*, text_len, euro_count, coalesce(cols, 0) AS table_columns, coalesce(ratios, 0.0::DOUBLE) / n_pages AS numeric_line_ratio FROM tr1 JOIN x USING (source_file) LEFT JOIN w USING (source_file)),
+b AS (SELECT *, CASE WHEN table_columns >= 3 THEN table_columns ELSE 0 END + 5.0::DOUBLE * numeric_line_ratio AS table_score FROM a),
+c AS (SELECT *, marker_score >= 6 AND art_no_count >= 2 AND rrp_count >= 2 AS sm, table_columns >= 3 AND table_score >= 6 AS st, code_price_score >= 6 AND price_count >= 3 AS sc FROM b),
+d AS (SELECT *, greatest(CASE WHEN sm THEN marker_score ELSE -1 END, CASE WHEN st THEN table_score ELSE -1 END, CASE WHEN sc THEN code_price_score ELSE -1 END) AS top FROM c),
+e AS (SELECT * EXCLUDE (sm, st, sc, top), CASE WHEN art_no_count >= 20 AND rrp_count >= 20 THEN 'marker' WHEN sm AND marker_score = top THEN 'marker' WHEN st AND table_score = top THEN 'table_based' WHEN sc AND code_price_score = top THEN 'code_price_based' ELSE 'unknown' END AS profile, CAST(greatest(marker_score, table_score, code_price_score) AS DOUBLE) AS support_score FROM d),
+f AS (SELECT *, greatest(art_no_count, rrp_count, price_count, code_count, description_count, support_score) > 0 AS signal FROM e)
+SELECT * EXCLUDE (signal), CASE WHEN text_len < 80 AND NOT signal THEN 'NO' WHEN profile = 'table_based' AND price_count < 1 AND euro_count < 1 AND currency_count < 1 AND numeric_line_ratio < 0.2::DOUBLE THEN 'FORSE' WHEN profile <> 'unknown' THEN 'OK' WHEN signal THEN 'FORSE' ELSE 'NO' END AS decision FROM f""",
+        "sweep_hits": f"""{SPAGES}, n AS (SELECT source_file, max(page_number) AS n FROM cat GROUP BY 1), s AS (SELECT source_file, CAST(unnest(range(1, n + 1, CAST(greatest(10, ceil(n / 40)) AS INT))) AS INT) AS page_number FROM n),
+a AS (SELECT *, min(page_number) FILTER (signal_score >= 10) OVER (PARTITION BY source_file) AS first FROM (SELECT sp.* FROM sp JOIN s USING (source_file, page_number))), b AS (SELECT source_file, page_number, signal_score, coalesce(page_number = first, false) AS hit FROM a WHERE first IS NULL OR page_number <= first),
+c AS (SELECT sp.source_file, sp.page_number, sp.signal_score, false AS hit FROM sp JOIN b ON b.hit AND sp.source_file = b.source_file AND abs(sp.page_number - b.page_number) <= 2 AND sp.page_number <> b.page_number)
+SELECT {P}, signal_score, bool_or(hit) AS hit FROM (SELECT * FROM b UNION ALL SELECT * FROM c) GROUP BY ALL""",
+        "adjusted_scores": f"""{SPAGES}, {o.WORDS}, {TABLE_METRICS}, a AS (SELECT *, mixed_code_count = 0 AND cooccurrence_count = 0 AS bare, round(signal_score, 4) AS s0 FROM sp), b AS (SELECT *, CASE WHEN toc_hard AND bare THEN greatest(0.0::DOUBLE, s0 - 6) ELSE s0 END AS s1 FROM a),
+c AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY s1 DESC, page_number) AS r FROM b), d AS (SELECT c.*, CASE WHEN table_hint AND r <= 16 THEN coalesce(round(twm.n_columns + 5.0::DOUBLE * twm.numeric_line_ratio, 3), 0.0::DOUBLE) ELSE 0.0::DOUBLE END AS table_likelihood FROM c LEFT JOIN twm USING ({P})),
+e AS (SELECT *, round(s1 + table_likelihood, 4) AS s2 FROM d), f AS (SELECT *, CASE WHEN table_likelihood >= 6 AND bare THEN round(greatest(0.0::DOUBLE, s2 - 8), 4) ELSE s2 END AS s3 FROM e)
+SELECT {P}, CASE WHEN toc_like AND NOT toc_hard THEN round(s3 * 0.85::DOUBLE, 4) ELSE s3 END AS signal_score, table_likelihood FROM f""",
+        "retry_plan": f"""{CHOICE}, r AS (SELECT source_file, bool_or(ok) AS ok, max(CAST(eval_rows > 0 AS INT)) AS rowsome, arg_min(reason, way_rank) FILTER (reason IN ('too_few_rows', 'no_valid_rows_found', 'low_unique_code_ratio', 'low_key_fields_rate')) AS why FROM td GROUP BY 1),
+g AS (SELECT source_file, page_number, max(price_like) OVER (PARTITION BY source_file, page_number ORDER BY line_no ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AND code_hits > 0 AS near FROM li), h AS (SELECT source_file, count(DISTINCT page_number) FILTER (near) AS pages FROM g GROUP BY 1),
+i AS (SELECT r.*, CASE WHEN rowsome = 0 THEN 'retry_no_rows' WHEN coalesce(pages, 0) < 3 THEN 'retry_cooc' WHEN ok THEN '' WHEN why IS NOT NULL THEN 'retry' ELSE '' END AS next_mode FROM r LEFT JOIN h USING (source_file))
+SELECT source_file, next_mode, CASE WHEN next_mode <> '' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS multiplier, CASE WHEN next_mode <> '' THEN coalesce(why, '') ELSE '' END AS reason, CASE WHEN next_mode <> '' THEN 'sweep' ELSE '' END AS then_mode FROM i""",
+        "code_quality": f"""{o.ROWS}, f AS (SELECT source_file, {o.code('art_no')} AS code, {o.code("regexp_extract(line, '(?i)Art\\.?\\s*no\\.?\\s*:\\s*([A-Z0-9]+(?:-[A-Z0-9]+)*)', 1)")} AS field FROM rw)
+SELECT source_file, count(*) FILTER (regexp_matches(code, '^[0-9]{{6,}}$') AND field <> '' OR code <> '' AND field <> '' AND code <> field) AS bad_art_no_count, CAST(0 AS BIGINT) AS corrected_art_no_count, bool_or(regexp_matches(code, '^[0-9]{{6,}}$') AND field <> '') AS suspicious_numeric_art_no_seen FROM f GROUP BY 1""",
+        "document_groups": f"""{SPAGES}, {o.WORDS}, {TABLE_METRICS}, {triage}, t AS (SELECT source_file, max(n_columns) AS cols FROM twm GROUP BY 1), m AS (SELECT source_file, count(DISTINCT c) AS cur FROM (SELECT source_file, unnest(regexp_extract_all(line, '{MONEY}')) AS c FROM cat) GROUP BY 1),
+d AS (SELECT source_file, sum(digits) / sum(text_len) AS density FROM sp GROUP BY 1), a AS (SELECT tri.*, cols, density, coalesce(cur, 0) AS cur FROM tri JOIN t USING (source_file) JOIN d USING (source_file) LEFT JOIN m USING (source_file)),
+g AS (SELECT *, profile || '_' || CASE WHEN cols >= 6 THEN 'c6p' WHEN cols >= 4 THEN 'c4' WHEN cols >= 2 THEN 'c2' WHEN cols = 1 THEN 'c1' ELSE 'c0' END || '_' || CASE WHEN density >= 0.08 THEN 'nhigh' WHEN density >= 0.04 THEN 'nmid' ELSE 'nlow' END || '_' || CASE WHEN cur >= 2 THEN 'cmulti' WHEN cur = 1 THEN 'csingle' ELSE 'cnone' END AS group_id FROM a)
+SELECT group_id, count(*) AS size, round(avg(cols), 4) AS avg_table_columns, round(avg(marker_score), 4) AS avg_marker_score, round(avg(price_count), 4) AS avg_price_count, array_to_string((list(source_file ORDER BY source_file))[1:3], ',') AS examples FROM g GROUP BY 1""",
+        "profile_terms": f"""{o.CATALOG}, {GAPPED}, u AS (SELECT upper(line) AS line FROM gp), h AS (SELECT unnest(string_split_regex(lower(line), '[^a-z]+')) AS term FROM u WHERE length(line) <= 80 AND NOT regexp_matches(line, '\\b[0-9]{{1,7}}(?:[.,][0-9]{{2}})\\b') AND len(regexp_extract_all(line, '[A-Za-z]{{3,}}')) >= 2 AND (contains(line, '  ') OR line = upper(line) AND regexp_matches(line, '[A-Z]'))),
+c AS (SELECT term, count(*) AS n FROM h WHERE length(term) >= 3 GROUP BY 1 HAVING count(*) >= 2) SELECT {FIELD_OF} AS field, term, n FROM c WHERE {FIELD_OF} <> ''""",
+        "table_precheck": f"""{TABLE}, a AS (SELECT source_file, bool_or(head) AS h, count(*) FILTER (len(cs) >= 3) AS n FROM tb4 GROUP BY 1), c AS (SELECT source_file, max(len(list_filter(string_split_regex(line, '\\s{{2,}}'), lambda x: x <> ''))) AS c FROM gp GROUP BY 1)
+SELECT source_file, coalesce(h, false) OR c >= 3 OR coalesce(n, 0) >= 3 AS ok, CASE WHEN coalesce(h, false) OR c >= 3 OR coalesce(n, 0) >= 3 THEN '' ELSE 'table_precheck_failed' END AS reason FROM c LEFT JOIN a USING (source_file)""",
+        "degraded_codes": f"{BLOCKS}, a AS (SELECT *, regexp_replace({CODE_RAW}, '[^0-9]', '', 'g') AS c FROM blk) SELECT {K}, part, regexp_matches(c, '^[0-9]{{4,}}$') AND {has('block', rx.DEGRADED_ART_NO)} AS degraded FROM a",
+    }
