@@ -108,7 +108,10 @@ def small(df: DataFrame) -> DataFrame | None:
 
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose results are stored: it does once their plans are collected, which takes
-    more than one round, as plans are let go here first and there later."""
+    more than one round, as plans are let go here first and there later. In one process disk is not shared and this not worth
+    the wait."""
+    if spark.sparkContext.master.startswith("local"):
+        return
     for _ in range(3):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
