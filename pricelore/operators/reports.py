@@ -213,6 +213,12 @@ def corpus_report(documents: DataFrame) -> DataFrame:
     return documents.select(F.col("source_file").alias("path"), "page_count", F.array_join(F.transform("pages_sampled", lambda p: p.cast("string")), ",").alias("pages_sampled"), marks.alias("marker_hits"), lb.counts_text(F.col("currency_counts")).alias("currency_tokens"), "numeric_density", F.col("price_count").alias("price_pattern_hits"), table.alias("table_likelihood"), "recommended_parser", "risk_flags")
 
 
+def page_metrics(pages: DataFrame) -> DataFrame:
+    """A JSON payload a page with its signals, for a look at a run."""
+    names = [c for c in ("n_lines", "price_like_count", "mixed_code_count", "cooccurrence_count", "row_candidate_count", "numeric_density", "table_hint", "table_likelihood", "signal_score", "toc_score", "toc_like", "toc_hard") if c in pages.columns]
+    return pages.select("source_file", "page_number", F.to_json(F.struct(*names)).alias("metrics"))
+
+
 def run_summary(results: DataFrame) -> DataFrame:
     """One row for a run: documents, how they ended, and their rows. results: final_status, rows_exported, review_rows and suspicious_numeric_art_no_seen."""
     status = F.col("final_status")

@@ -194,6 +194,37 @@ def duplicates_summary(rows: DataFrame, most: int = 20) -> DataFrame:
     return some.filter("n_rows > 1").withColumn("dup_order", F.row_number().over(w)).filter(F.col("dup_order") <= most)
 
 
+def price_in(currency: str):
+    """The price in a currency; euros for any that rows have no column for."""
+    known = currency.upper() if currency.upper() in rx.ROW_CURRENCIES else "EUR"
+    return F.col(f"price_{known.lower()}")
+
+
+def has_price():
+    return F.coalesce(*[F.col(f"price_{c.lower()}") for c in rx.ROW_CURRENCIES]).isNotNull()
+
+
+def keep_target(rows: DataFrame, target: str = CONFIG.target_currency, mode: str = CONFIG.export_mode, signal=None) -> DataFrame:
+    """Rows with the target currency's price, and without the others. Where partial rows may stay, those without any price do if something
+    else speaks of one (signal, a column)."""
+    stays = F.lit(False) if signal is None or mode != PARTIAL else ~has_price() & signal
+    return currency_filter(rows.filter(price_in(target).isNotNull() | stays), target)
+
+
+def corrected_codes(rows: DataFrame, text_col: str = "line") -> DataFrame:
+    """Codes of six digits or more that differ from the one in the text's code field give way to that, with a note."""
+    field = F.regexp_extract(text_col, r"(?i)Art\.?\s*no\.?\s*:\s*([A-Z0-9]+(?:-[A-Z0-9]+)*)", 1)
+    wrong = F.col("art_no").rlike(r"^\d{6,}$") & (field != "") & (field != F.col("art_no"))
+    return rows.withColumns({"art_no": F.when(wrong, tx.canonical_code(field)).otherwise(F.col("art_no")), "notes": F.when(wrong, F.concat_ws("; ", F.when(F.col("notes") != "", F.col("notes")), F.lit("art_no_corrected"))).otherwise(F.col("notes"))})
+
+
+def apply_page_gates(rows: DataFrame, gates: DataFrame) -> DataFrame:
+    """Rows of pages that aren't running text, with a note on pages that are for review alone. gates: page_gates."""
+    own = gates.select("source_file", "page_number", "text_like", "review_only")
+    note = F.when(F.col("review_only"), F.concat_ws("; ", F.when(F.col("notes") != "", F.col("notes")), F.lit("page_review_only"))).otherwise(F.col("notes"))
+    return rows.join(own, ["source_file", "page_number"]).filter(~F.col("text_like")).withColumn("notes", note).drop("text_like", "review_only")
+
+
 def duplicate_conflicts(rows: DataFrame) -> DataFrame:
     """Codes of a document with more than one name and price. A missing price counts as a value of its own."""
     variant = F.struct(F.lower(F.btrim("name")), F.coalesce(F.col("price").cast("string"), F.lit("")))

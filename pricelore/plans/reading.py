@@ -115,6 +115,8 @@ def queries(info, parsed, judged, exported, signals, words):
         "attempt_lines": lambda a, d: tried(a, d).select("source_file", "parser", "way_rank", ch.attempt_text().alias("attempt")),
         "early_discards": lambda a, d: ch.early_discards(exported(a, d).withColumn("parser", F.lit("code_price_based")).join(sm.eval_order(pages(a, d)).select(*PAGE, "eval_rank"), list(PAGE))),
         "retry_plan": lambda a, d: ch.retry_plan(tried(a, d), pages(a, d).groupBy("source_file").agg(F.count_if(F.col("row_candidate_count") > 0).alias("cooccurrence_pages"), F.lit(CONFIG.cooccurrence_pages_min).alias("cooccurrence_required"))),
+        "gated_rows": lambda a, d: rw.apply_page_gates(exported(a, d), pg.page_gates(signals(a, d))).select(*KEY, "art_no", "exported", "notes"),
+        "page_metrics": lambda a, d: rp.page_metrics(pages(a, d)),
         "dedup_rows": lambda a, d: deduped(a, d).select(*KEY, "art_no", "dup_verdict", "noise", "exported", "needs_review", "notes"),
         "duplicates_summary": lambda a, d: rw.duplicates_summary(deduped(a, d)),
         "products_sheet": lambda a, d: sheet(a, d),
@@ -296,6 +298,8 @@ FROM l LEFT JOIN y USING (source_file) LEFT JOIN w USING (source_file) LEFT JOIN
 TABLE_METRICS = f"""twb AS (SELECT {P}, floor(x0 / 20) AS xb, floor(top / 5) AS yb, regexp_matches(text, '[0-9]') AS numeric FROM wd), twc AS (SELECT {P}, xb FROM twb GROUP BY ALL HAVING count(*) >= 10),
 tws AS (SELECT {P}, yb, count(DISTINCT xb) AS n FROM twb SEMI JOIN twc USING ({P}, xb) WHERE numeric GROUP BY ALL), twr AS (SELECT {P}, sum(CAST(n >= 2 AS INT)) AS t FROM tws GROUP BY ALL), twy AS (SELECT {P}, count(DISTINCT yb) AS n_lines FROM twb GROUP BY ALL), tww AS (SELECT {P}, count(*) AS n_columns FROM twc GROUP BY ALL),
 twm AS (SELECT {P}, coalesce(n_columns, 0) AS n_columns, CAST(coalesce(t, 0) AS DOUBLE) / n_lines AS numeric_line_ratio FROM twy LEFT JOIN tww USING ({P}) LEFT JOIN twr USING ({P}))"""
+GATES = o.PAGES[len(o.INFO) :].lstrip(", \n") + """,
+gt AS (SELECT source_file, page_number, row_candidate_count = 0 AND mixed_code_count = 0 AND (cooccurrence_count = 0 AND price_like_count < 2 AND numeric_density < 0.08::DOUBLE OR legal_hits >= 2 AND cooccurrence_count = 0 AND price_like_count < 3) AS text_like, legal_hits >= 2 AND (cooccurrence_count < 2 OR NOT table_hint) AS review_only FROM pg)"""
 MONEY = "€|\\b(?:" + "|".join(rx.CURRENCIES) + ")\\b"
 FIELD_OF = """CASE WHEN regexp_matches(term, '^(?:art)') THEN 'art_no' WHEN regexp_matches(term, '^(?:rrp|list)') THEN 'rrp' WHEN regexp_matches(term, '^(?:coll|pack)') THEN 'colli' WHEN regexp_matches(term, '^(?:desig)') THEN 'designer' WHEN regexp_matches(term, '^(?:cod|item)') THEN 'code'
  WHEN regexp_matches(term, '^(?:desc|name|prod)') THEN 'description' WHEN regexp_matches(term, '^(?:price|prezz)') OR term IN ('eur', 'dkk', 'sek', 'nok') THEN 'price' WHEN regexp_matches(term, '^(?:size|dim)') THEN 'size' ELSE '' END"""
@@ -307,6 +311,7 @@ def more_sql() -> dict[str, str]:
     return {
         "currency_counts": f"{o.CATALOG}, a AS (SELECT source_file, unnest(regexp_extract_all(line, '{MONEY}')) AS c FROM cat) SELECT source_file, CASE WHEN c = '€' THEN 'EUR_symbol' ELSE c END AS currency, count(*) AS n FROM a GROUP BY ALL",
         "run_summary": f"{CHOICE}, z AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY ok DESC, CASE WHEN ok THEN score END DESC, CASE WHEN ok THEN rows_exported END DESC, CASE WHEN ok THEN review_rate END, (parser = profile) DESC, eval_rows DESC, score DESC, way_rank) AS z FROM td WHERE ok OR eval_rows > 0) SELECT count(*) AS documents, count(*) FILTER (ok) AS converted, count(*) FILTER (NOT ok) AS review_only, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS skipped, CAST(sum(rows_exported) AS BIGINT) AS rows_exported, CAST(0 AS BIGINT) AS review_rows, false AS suspicious FROM z WHERE z = 1",
+        "gated_rows": f"{o.JUDGED},{GATES} SELECT {K}, art_no, exported, CASE WHEN review_only THEN concat_ws('; ', CASE WHEN notes <> '' THEN notes END, 'page_review_only') ELSE notes END AS notes FROM ex JOIN gt USING ({P}) WHERE NOT text_like",
         "run_scores": f"""{o.JUDGED}, m AS (SELECT source_file, count(*) AS n_rows, count(DISTINCT CASE WHEN art_no <> '' THEN art_no END) AS n_codes, CAST(sum(CAST(art_no <> '' AND price IS NOT NULL AS INT)) AS BIGINT) AS n_key, CAST(sum(CAST(needs_review AS INT)) AS BIGINT) AS n_review, count(*) FILTER (exported) AS n_out FROM ex GROUP BY 1),
 k AS (SELECT *, CAST(n_codes AS DOUBLE) / n_rows AS unique_code_ratio, CAST(n_key AS DOUBLE) / n_rows AS key_fields_rate, CAST(n_review AS DOUBLE) / n_rows AS review_rate FROM m),
 c AS (SELECT source_file, count(*) AS n FROM (SELECT source_file, art_no FROM ex WHERE ok GROUP BY ALL HAVING count(*) > 1 AND count(DISTINCT (lower(trim(name)), coalesce(CAST(price AS VARCHAR), ''))) > 1) GROUP BY 1),

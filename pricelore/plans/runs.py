@@ -27,6 +27,23 @@ LOGGER = logging.getLogger(__name__)
 COLUMNS = ("source_file", "page_number", "line_no", "parser", "section", "art_no", "name", "price", "exported", "needs_review", "notes", "noise")
 
 
+#: The ways of reading by their names: what each reads, lines as they are normalised or as they were read, and how it cuts them into blocks.
+PARSERS = {"marker": bl.marker_blocks, "table_based": tb.table_lines, "code_price_based": lambda lines: bl.code_price_blocks(ln.line_info(lines))}
+
+
+def segmenter(name: str = "marker"):
+    """The segmentation of a way of reading."""
+    if name not in PARSERS:
+        raise ValueError(f"unknown parser: {name}")
+    return PARSERS[name]
+
+
+def diagnostics(results: DataFrame, top_pages: DataFrame, attempts: DataFrame, document: str) -> dict[str, DataFrame]:
+    """The sheets of one document's diagnosis: what came of it, the pages that were read, and the attempts."""
+    of = lambda df: df.filter(F.col("source_file") == document)
+    return {"SUMMARY": writers.summary(of(results)).orderBy("n").select("key", "value"), "TOP_K": of(top_pages).orderBy("page_rank"), "ATTEMPTS": of(attempts).orderBy("way_rank")}
+
+
 def rows_of(lines: DataFrame, raw: DataFrame, sections: DataFrame) -> dict[str, DataFrame]:
     """The rows of each way of reading. raw: lines as they were read, with their gaps; sections: section_carry."""
     own = sections.select("source_file", "page_number", "section")

@@ -495,3 +495,36 @@ def test_stitched_pages(spark):
 
 def test_page_signals_of_an_empty_table(spark):
     assert pg.page_signals(ln.line_info(lines_of(spark, {("d", 1): ["x"]}).limit(0))).count() == 0
+
+
+def test_target_currency_and_corrections(spark):
+    prices = [(1.0, None, None, 2.0), (1.0, None, None, None), (None, None, None, None)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(prices)], "i int, price_dkk double, price_sek double, price_nok double, price_eur double")
+    assert [r.i for r in rw.keep_target(df, "EUR").collect()] == [0] and rw.keep_target(df, "EUR").first().price_dkk is None
+    assert [r.i for r in rw.keep_target(df, "DKK", signal=F.lit(True)).orderBy("i").collect()] == [0, 1, 2]
+    assert [r.i for r in rw.keep_target(df, "xyz", mode="strict", signal=F.lit(True)).collect()] == [0]
+    df = spark.createDataFrame([("447100", "Art. no: QX-4471", "x"), ("447100", "Art. no: 447100", ""), ("QX-1", "Art. no: QX-2", "")], "art_no string, line string, notes string")
+    assert [(r.art_no, r.notes) for r in rw.corrected_codes(df).collect()] == [("QX-4471", "x; art_no_corrected"), ("447100", ""), ("QX-1", "")]
+
+
+def test_page_gates_on_rows(spark):
+    rows = spark.createDataFrame([("d", 1, "a"), ("d", 2, ""), ("d", 3, "")], "source_file string, page_number int, notes string")
+    gates = spark.createDataFrame([("d", 1, False, True), ("d", 2, True, False), ("d", 3, False, False)], "source_file string, page_number int, text_like boolean, review_only boolean")
+    assert [(r.page_number, r.notes) for r in rw.apply_page_gates(rows, gates).orderBy("page_number").collect()] == [(1, "a; page_review_only"), (3, "")]
+
+
+def test_diagnosis_and_parsers(spark, tmp_path):
+    from pricelore.plans import runs
+
+    results = spark.createDataFrame([("a", 3), ("b", 4)], "source_file string, rows_exported int")
+    top = spark.createDataFrame([("a", 7, 2), ("a", 3, 1), ("b", 1, 1)], "source_file string, page_number int, page_rank int")
+    attempts = spark.createDataFrame([("a", 0, "(marker:ok)")], "source_file string, way_rank int, attempt string")
+    sheets = runs.diagnostics(results, top, attempts, "a")
+    assert [tuple(r) for r in sheets["SUMMARY"].collect()] == [("source_file", "a"), ("rows_exported", "3")]
+    assert [r.page_number for r in sheets["TOP_K"].collect()] == [3, 7] and sheets["ATTEMPTS"].count() == 1
+    writers.write_workbook(sheets, str(tmp_path / "d.xlsx"))
+    assert runs.segmenter() is runs.PARSERS["marker"] and runs.segmenter("code_price_based")(lines_of(spark, {("d", 1): ["QX4471 Garden bench EUR 310", "words"]})).count() == 1
+    with pytest.raises(ValueError):
+        runs.segmenter("none")
+    pages = spark.createDataFrame([("d", 1, 2.5, True)], "source_file string, page_number int, signal_score double, toc_like boolean")
+    assert json.loads(rp.page_metrics(pages).first().metrics) == {"signal_score": 2.5, "toc_like": True}
