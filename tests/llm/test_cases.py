@@ -318,6 +318,14 @@ def test_fenwick_against_all_values():
             entered.append((rank, x, value))
 
 
+def test_hashes_of_words_stand_alone():
+    rnd = random.Random(18)
+    ws = [f"w{rnd.randrange(9000)}".encode() for _ in range(50_000)] + [b"x" * 300_000, b"y" * 300_000]
+    h = substring.hashes_of(ws).tolist()
+    assert len(set(h)) == len(set(ws)) and all(substring.hashes_of([b"a", w, b"b"])[1] == v for w, v in list(zip(ws, h))[::997])
+    assert substring.hashes_of(ws[-2:]).tolist() == h[-2:] and len(substring.hashes_of([b"one"])) == 1
+
+
 def test_alignments_go_on_to_the_ends_of_long_passages(spark, monkeypatch):
     # Only one seed links the two texts across tasks: all others are nearer to a third text's.
     monkeypatch.setattr(substring, "REACH", 8)
