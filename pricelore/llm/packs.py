@@ -75,16 +75,16 @@ class Encoder:
             seen.update(parts[1:])
         new = seen.difference(kept)
         # A cut beside more white space, or at the end, is none: those texts are cut again with care.
-        wrong = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
+        wrong = {p for p in new if p.strip() != p or not p}
         for i, parts in enumerate(split):
             head = parts[0]
             if wrong and not wrong.isdisjoint(parts) or not head or head[-1].isspace():
                 split[i] = _CUT.split(texts[i])
                 new.update(p for p in split[i][1:] if p not in kept)
         # What begins or ends with white space is not remembered, so that it shows up as new wherever it stands.
-        odd = [p for p in new if not p or p[0].isspace() or p[-1].isspace()]
+        odd = [p for p in new if p.strip() != p or not p] if wrong else []
         new.difference_update(odd)
-        once = dict(zip(odd, self._ids([" " + p for p in odd])))
+        once = dict(zip(odd, self._ids([" " + p for p in odd]))) if odd else {}
         if len(passing) > PASSING_PARTS:
             passing.clear()
         new.difference_update(passing)
@@ -92,18 +92,21 @@ class Encoder:
         out = []
         for head, parts in zip(self._ids([parts[0] for parts in split]), split):
             try:
-                out.append(head + b"".join([kept[p] for p in parts[1:]]))
+                out.append(head + b"".join(map(kept.__getitem__, parts[1:])))
             except KeyError:
                 out.append(head + b"".join([ids if (ids := kept.get(p)) is not None else ids if (ids := passing.get(p)) is not None else once[p] for p in parts[1:]]))
         return out
 
     def _learn(self, new: set[str]) -> None:
         """Find the ids of parts that follow a space. A word with a mark after it is the word's ids and the mark's."""
-        marked = {p: p[:-1] for p in new if p[-1] in ".,;:!?" and p[:-1].isalpha()}
+        marked = {p: word for p in new if p[-1] in ".,;:!?" and (word := p[:-1]).isalpha()}
         kept, passing = self.kept, self.passing
         plain = list((new - marked.keys()).union(w for w in marked.values() if w not in kept and w not in passing))
-        for part, ids in zip(plain, self._many(plain)):
-            (kept if len(kept) < KEEP_PARTS and len(part) <= 64 else passing)[part] = ids
+        if len(kept) + len(plain) < KEEP_PARTS and max(map(len, plain), default=0) <= 64:
+            kept.update(zip(plain, self._many(plain)))
+        else:
+            for part, ids in zip(plain, self._many(plain)):
+                (kept if len(kept) < KEEP_PARTS and len(part) <= 64 else passing)[part] = ids
         for part, word in marked.items():
             mark = self.marks.get(part[-1])
             if mark is None:
@@ -120,12 +123,14 @@ class Encoder:
             if any(t["content"] in p for t in self.added for p in own):
                 out += self._ids(own)
                 continue
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, self.type)
+            joined = "".join(own)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.type)
             ends = np.cumsum(self.widths[ids])
-            cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in own])) + 1
-            raw, size, a = ids.tobytes(), self.type.itemsize, 0
+            sizes = [len(p) for p in own] if joined.isascii() else [len(p.encode()) for p in own]
+            cuts = (np.searchsorted(ends, np.cumsum(sizes)) + 1) * self.type.itemsize
+            raw, a = ids.tobytes(), 0
             for z in cuts.tolist():
-                out.append(raw[a * size : z * size])
+                out.append(raw[a:z])
                 a = z
         return out
 
