@@ -299,6 +299,22 @@ def test_passages_of_frequent_lines(spark):
     assert {(r.doc_id, r.other_id) for r in substring.repeated_passages(df).collect()} == want
 
 
+@pytest.mark.parametrize("copies", [1, 12])
+@pytest.mark.parametrize("parts", [1, 3])
+def test_passages_whose_every_part_stands_in_others(spark, copies, parts):
+    rnd = random.Random(26)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    rows, want = [], set()
+    for n in range(12):
+        passage = own(50 if n % 2 else 60)
+        pieces = [passage[a : a + 49] for a in range(len(passage) - 48)]
+        rows += [(1000 * n + m, own(9) + piece + own(9)) for m, piece in enumerate(pieces * copies)]
+        rows += [(1000 * n + m, own(9) + passage + own(9)) for m in (998, 999)]
+        want.add((1000 * n + 999, 1000 * n + 998, 9, 9 + len(passage), 9, 9 + len(passage), len(passage)))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string").repartition(parts)
+    assert {tuple(r) for r in substring.repeated_passages(df).collect()} == want
+
+
 def test_secrets_of_letters_alone():
     encode = secrets.encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).encode_ordinary
     rnd = random.Random(27)
