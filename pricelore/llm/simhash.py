@@ -8,7 +8,8 @@ all within the last four bytes: of any five shared bytes, three lie in one half,
 Few bits are a strict test: texts with a Jaccard similarity of 0.8 differ in about ten of 64. Where a similarity is asked for,
 sketches of minimum hashes find candidates beside the fingerprints, in the same way: rows meet in lists by bands of minima,
 and pairs of a list are held to the share of equal sketch bytes, with room for its error. The shingles of the two
-texts then decide each candidate exactly.
+texts then decide each candidate exactly. A search through each list gives the first candidates; then all pairs of a list that are
+not connected yet are checked, without a limit.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ DENSE = 2048
 LANES = 128
 #: Bands of four minima each: texts of similarity 0.8 share one with probability 0.9998.
 BANDS, BAND_ROWS = 16, 4
-#: Candidates of each text in a list that are checked after classes have been found.
-CLOSEST = 3
+#: Pairs of a list that are passed on at a time.
+MOST_HELD = 200_000
 _RANDOM = np.random.default_rng(64)
 _ODD = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64)
@@ -267,19 +268,33 @@ def _similar(own: np.ndarray, least: int) -> np.ndarray:
     return parent
 
 
-def _closest(own: np.ndarray, label: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of sketches of different classes: each sketch outside the list's largest class with the CLOSEST nearest of
-    other classes, as far as they are near enough."""
+def _across(own: np.ndarray, label: np.ndarray, least: int, below: int):
+    """All pairs of sketches of different classes with so many equal bytes, as arrays of places, a part at a time. One of each pair is
+    outside the list's largest class."""
     classes, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    a, b = [], []
+    a, b, held = [], [], 0
     for i in np.flatnonzero(of != sizes.argmax()) if len(classes) > 1 else ():
-        equal = (own == own[i]).sum(axis=1, dtype=np.int32)
-        equal[of == of[i]] = 0
-        top = np.argsort(-equal, kind="stable")[:CLOSEST]
-        top = top[equal[top] >= least]
-        a.append(np.full(len(top), i))
-        b.append(top)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, int), np.zeros(0, int))
+        others = np.flatnonzero((of != of[i]) & ((of == sizes.argmax()) | (np.arange(len(own)) < i)))
+        equal = (own[others] == own[i]).sum(axis=1, dtype=np.int32)
+        near = others[(equal >= least) & (equal < below)]
+        a.append(np.full(len(near), i))
+        b.append(near)
+        held += len(near)
+        if held >= MOST_HELD:
+            yield np.concatenate(a), np.concatenate(b)
+            a, b, held = [], [], 0
+    if held:
+        yield np.concatenate(a), np.concatenate(b)
+
+
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """Of sketch_lists those that hold several classes, with __label, as a stored table. Keys travel without sketches first, as
+    most lists hold one class. labels: __labelled and __label, the smallest node of a class; a node without is one by itself."""
+    own = lists.drop("__label").join(labels, F.col("__node") == F.col("__labelled"), "left").withColumn("__label", F.coalesce("__label", "__node"))
+    keys = own.groupBy(F.col("__key").alias("__several")).agg(F.min("__label").alias("__low"), F.max("__label").alias("__high")).filter("__low < __high").select("__several")
+    keys = stored(keys, "keys")
+    few = small(keys)
+    return stored(own.join(keys if few is None else few, F.col("__key") == F.col("__several"), "left_semi").select("__node", "__sketch", "__key", "__label"), "lists")
 
 
 def sketch_lists(nodes: DataFrame) -> DataFrame:
@@ -290,22 +305,17 @@ def sketch_lists(nodes: DataFrame) -> DataFrame:
     return stored(shared.join(nodes.select("__node", "__sketch"), "__node"), "lists")
 
 
-def sketch_candidates(lists: DataFrame, similarity: float, labels: DataFrame | None = None) -> DataFrame:
-    """Of sketch_lists: pairs a < b of nodes that share a list and whose sketches are near enough.
-
-    Without labels a list gives the steps of a search through it, fewer than it has members. With labels (__labelled, __label), the
-    classes that have been found so far, it gives pairs of different classes. A list's members are compared in one task; copies have
-    gone before.
+def sketch_candidates(lists: DataFrame, similarity: float, least: int | None = None, below: int = LANES + 1) -> DataFrame:
+    """Of sketch_lists: pairs a < b of nodes that share a list and whose sketches are near enough: the steps of a search through each
+    list, fewer than it has members. Of mixed_lists instead: all pairs of different classes, of so many equal bytes and below if least is
+    given. A list's members are compared in one task; copies have gone before.
     """
-    least = least_equal(similarity)
-    if labels is not None:
-        lists = lists.join(labels, F.col("__node") == F.col("__labelled"), "left")
-    label = F.lit(None).cast("bigint") if labels is None else F.coalesce("__label", "__node")
+    least = least_equal(similarity) if least is None else least
+    label = F.col("__label") if "__label" in lists.columns else F.lit(None).cast("bigint")
     lists = lists.select("__node", "__sketch", "__key", label.alias("__label")).repartition("__key").sortWithinPartitions("__key", "__node")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        held: list[tuple] = []
         now, ids, marks, classes = None, [], [], []
 
         def close():
@@ -315,29 +325,34 @@ def sketch_candidates(lists: DataFrame, similarity: float, labels: DataFrame | N
             if classes[0] is None:
                 parent = _similar(own, least)
                 i = np.flatnonzero(parent != np.arange(len(own)))
-                j = parent[i]
+                found = [(i, parent[i])]
             else:
-                i, j = _closest(own, np.array(classes, np.int64), least)
-            held.extend((min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in zip(i, j))
+                found = _across(own, np.array(classes, np.int64), least, below)
+            nodes = np.array(ids, np.int64)
+            for i, j in found:
+                if len(i):
+                    yield batch_of(schema, [pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j]))])
 
         for b in batches:
             for node, mark, key, label in zip(*(b.column(c).to_pylist() for c in range(4))):
                 if key != now:
-                    close()
+                    yield from close()
                     now, ids, marks, classes = key, [], [], []
                 ids.append(node)
                 marks.append(mark)
                 classes.append(label)
-            if held:
-                yield batch_of(schema, [list(c) for c in zip(*held)])
-                held.clear()
-        close()
-        if held:
-            yield batch_of(schema, [list(c) for c in zip(*held)])
+        yield from close()
 
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
+def levels_of(similarity: float) -> list[int]:
+    """Equal bytes of two sketches from which pairs of different classes are checked, in turn: those likely to be similar first, as they spare
+    others the check. The last is what candidates have at least."""
+    likely, least = round(LANES * (similarity + (1 - similarity) / 256)), least_equal(similarity)
+    return sorted({likely, (likely + least) // 2, least}, reverse=True)
+
+
 def exact_links(candidates: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """Of pairs a, b those whose sets of shingles have that Jaccard similarity or more. bodies: __node and __body, of a node any that
     it has."""
@@ -433,11 +448,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         by_bits = by_bits.unionByName(same).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         lists = sketch_lists(nodes)
         edges = stored(exact_links(by_bits.unionByName(sketch_candidates(lists, similarity)).distinct(), bodies, shingle_words, similarity), "links")
-        # A candidate that fails may have stood between texts that other pairs would link.
-        labels = components(edges).select(F.col("node").alias("__labelled"), F.col("root").alias("__label"))
-        more = exact_links(sketch_candidates(lists, similarity, labels), bodies, shingle_words, similarity)
-        edges = stored(edges.unionByName(more), "links")
-        released(df.sparkSession)
+        # A candidate that fails may have stood between texts that other pairs would link: of each list all pairs are checked that no links
+        # connect by then. A pair has its turn by its sketches alone, so none is left out as classes grow.
+        below = LANES + 1
+        for least_here in levels_of(similarity):
+            labels = components(edges).select(F.col("node").alias("__labelled"), F.col("root").alias("__label"))
+            lists = mixed_lists(lists, labels)
+            if lists.isEmpty():
+                break
+            more = exact_links(sketch_candidates(lists, similarity, least_here, below), bodies, shingle_words, similarity)
+            edges = stored(edges.unionByName(more), "links")
+            released(df.sparkSession)
+            below = least_here
     firsts = fps.groupBy("__node").agg(F.min(id_col).alias("__first"))
     roots = components(edges).checkpoint()
     smallest = roots.join(firsts, roots.node == firsts["__node"]).groupBy("root").agg(F.min("__first").alias("__least"))

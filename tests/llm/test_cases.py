@@ -398,6 +398,26 @@ def test_near_duplicates_hold_the_exact_similarity(spark):
     assert sum(got[i] == group[i] for i in range(n)) >= 0.97 * n
 
 
+def test_near_duplicates_check_all_pairs_of_a_list(spark):
+    # Every text has one partner that is similar enough, among many that are near it by their sketches alone.
+    rnd = random.Random(9)
+    rows = []
+    for group in range(3):
+        base = words(rnd, 300)
+        for n, start in enumerate(2 * rnd.sample(range(100, 140), 40), 1):  # a step apart is 0.799
+            rows.append((80 * group + n, " ".join(base[:start] + words(rnd, 28) + base[start + 28 :])))
+    texts = dict(rows)
+    label = {i: i for i in texts}
+    sets = {i: {tuple(t.split()[n : n + 5]) for n in range(len(t.split()) - 4)} for i, t in texts.items()}
+    for a in texts:
+        for b in range((a - 1) // 80 * 80 + 1, a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if v == y else v for i, v in label.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=5, similarity=0.8).collect()}
+    assert got == label and len(set(label.values())) == 120
+
+
 def test_fingerprints_by_a_plain_reading():
     import xxhash
 
