@@ -9,7 +9,7 @@ Few bits are a strict test: texts with a Jaccard similarity of 0.8 differ in abo
 sketches of minimum hashes find candidates beside the fingerprints, in the same way: rows meet in lists by bands of minima,
 and pairs of a list are held to the share of equal sketch bytes, with room for its error. The shingles of the two
 texts then decide each candidate exactly. A search through each list gives the first candidates; then all pairs of a list that are
-not connected yet are checked, without a limit.
+not connected yet are checked by their sets where the list is, without a limit, and a list gives fewer links than it has classes.
 """
 
 from __future__ import annotations
@@ -37,8 +37,9 @@ DENSE = 2048
 LANES = 128
 #: Bands of four minima each: texts of similarity 0.8 share one with probability 0.9998.
 BANDS, BAND_ROWS = 16, 4
-#: Pairs of a list that are passed on at a time.
-MOST_HELD = 200_000
+#: Compressed bytes of the texts of a list whose sets are held at a time, twice; and shingles that are looked up at once.
+BLOCK_BYTES = 4_000_000
+LOOKED_UP = 1 << 20
 _RANDOM = np.random.default_rng(64)
 _ODD = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RANDOM.integers(0, 1 << 63, LANES, dtype=np.uint64)
@@ -268,33 +269,121 @@ def _similar(own: np.ndarray, least: int) -> np.ndarray:
     return parent
 
 
-def _across(own: np.ndarray, label: np.ndarray, least: int, below: int):
-    """All pairs of sketches of different classes with so many equal bytes, as arrays of places, a part at a time. One of each pair is
-    outside the list's largest class."""
-    classes, of, sizes = np.unique(label, return_inverse=True, return_counts=True)
-    a, b, held = [], [], 0
-    for i in np.flatnonzero(of != sizes.argmax()) if len(classes) > 1 else ():
-        others = np.flatnonzero((of != of[i]) & ((of == sizes.argmax()) | (np.arange(len(own)) < i)))
-        equal = (own[others] == own[i]).sum(axis=1, dtype=np.int32)
-        near = others[(equal >= least) & (equal < below)]
-        a.append(np.full(len(near), i))
-        b.append(near)
-        held += len(near)
-        if held >= MOST_HELD:
-            yield np.concatenate(a), np.concatenate(b)
-            a, b, held = [], [], 0
-    if held:
-        yield np.concatenate(a), np.concatenate(b)
+def _joins(sets: list[np.ndarray], rows: np.ndarray, first: int, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of similar sets of different classes, one for each two classes that they join. rows: the places of the sets, label: the class
+    of each place, which follows the links. first: if not 0, pairs have one of the first so many sets, and one of the others.
+
+    Similar sets share one of the rarest shingles of each, so many as either may have without the other: only sets that do are
+    counted, all of them."""
+    sizes = np.array([len(s) for s in sets])
+    values = np.concatenate(sets)
+    if not len(values):
+        return []
+    row = np.repeat(np.arange(len(sets)), sizes)
+    _, ids, counts = np.unique(values, return_inverse=True, return_counts=True)
+    rank = np.empty(len(counts), np.int32)
+    rank[np.argsort(counts, kind="stable")] = np.arange(len(counts), dtype=np.int32)
+    ids = rank[ids]
+    ids = ids[np.lexsort((ids, row))]
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    rare = np.flatnonzero(np.arange(len(ids)) - starts[row] <= (sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64))[row])
+    rare = rare[np.argsort(ids[rare], kind="stable")]
+    of, listed = label[rows], row[rare]
+    low, high = _runs(ids[rare])
+    several = np.minimum.reduceat(of[listed], low) < np.maximum.reduceat(of[listed], low)
+    low, high = low[several], high[several]
+    postings: dict[int, list[np.ndarray]] = {}
+    classes, at, members = np.unique(of, return_inverse=True, return_counts=True)
+    main = at == members.argmax()
+    for a, z in zip(low.tolist(), high.tolist()):
+        own = listed[a:z]
+        for i in own[~main[own]].tolist():  # of each pair one is outside the largest class
+            postings.setdefault(i, []).append(own)
+    mark = np.zeros(len(counts), bool)
+    out = []
+    for i in sorted(postings):
+        met = np.zeros(len(sets), bool)
+        for own in postings.pop(i):
+            met[own] = True
+        near = np.flatnonzero(met)
+        near = near[(main[near] | (near < i)) & (np.minimum(sizes[near], sizes[i]) >= similarity * np.maximum(sizes[near], sizes[i]))]
+        if first:
+            near = near[(near < first) != (i < first)]
+        mark[ids[starts[i] : ends[i]]] = True
+        while len(near := near[label[rows[near]] != label[rows[i]]]):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[near]), LOOKED_UP)))
+            now, near = near[:n], near[n:]
+            begin = np.cumsum(sizes[now]) - sizes[now]
+            places = np.repeat(starts[now] - begin, sizes[now]) + np.arange(int(sizes[now].sum()))
+            common = np.add.reduceat(mark[ids[places]], begin, dtype=np.int64)
+            for j in now[common >= similarity * (sizes[now] + sizes[i] - common)].tolist():
+                x, y = label[rows[i]], label[rows[j]]
+                if x != y:
+                    label[label == y] = x
+                    out.append((int(rows[i]), int(rows[j])))
+        mark[ids[starts[i] : ends[i]]] = False
+    return out
+
+
+def _joins_of_list(bodies: list[bytes], label: np.ndarray, shingle_words: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of similar texts of different classes of a list, as _joins has them. Sets are made of a block of texts and another at a time."""
+    from zstandard import ZstdDecompressor
+
+    read = ZstdDecompressor().decompress
+    block = np.cumsum([len(b) for b in bodies]) // BLOCK_BYTES
+    rows = [np.arange(a, z) for a, z in zip(*_runs(block))]
+    sets_of = lambda places: [np.unique(shingle_hashes(read(bodies[p]).decode(), shingle_words)) for p in places.tolist()]
+    out = []
+    for n, own in enumerate(rows):
+        if (label == label[0]).all():
+            break
+        sets = sets_of(own)
+        out += _joins(sets, own, 0, label, similarity)
+        for others in rows[n + 1 :]:
+            both = np.concatenate((own, others))
+            if (label[both] != label[own[0]]).any():
+                out += _joins(sets + sets_of(others), both, len(own), label, similarity)
+    return out
 
 
 def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Of sketch_lists those that hold several classes, with __label, as a stored table. Keys travel without sketches first, as
-    most lists hold one class. labels: __labelled and __label, the smallest node of a class; a node without is one by itself."""
-    own = lists.drop("__label").join(labels, F.col("__node") == F.col("__labelled"), "left").withColumn("__label", F.coalesce("__label", "__node"))
+    """Of sketch_lists __node, __key and __label of those that hold several classes, as a stored table. labels: __labelled and __label, the
+    smallest node of a class; a node without is one by itself."""
+    own = lists.select("__node", "__key").join(labels, F.col("__node") == F.col("__labelled"), "left").select("__node", "__key", F.coalesce("__label", "__node").alias("__label"))
     keys = own.groupBy(F.col("__key").alias("__several")).agg(F.min("__label").alias("__low"), F.max("__label").alias("__high")).filter("__low < __high").select("__several")
     keys = stored(keys, "keys")
     few = small(keys)
-    return stored(own.join(keys if few is None else few, F.col("__key") == F.col("__several"), "left_semi").select("__node", "__sketch", "__key", "__label"), "lists")
+    return stored(own.join(keys if few is None else few, F.col("__key") == F.col("__several"), "left_semi"), "lists")
+
+
+def joining_links(lists: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
+    """Of mixed_lists links a < b of similar texts that join the classes of a list, fewer than it has classes: all pairs of different classes are
+    checked in the list's task, so no pairs travel. bodies: as exact_links has them."""
+    asked = bodies_of(bodies, lists.select("__node")).select(F.col("__node").alias("__asked"), "__body")
+    lists = lists.join(asked, F.col("__node") == F.col("__asked")).select("__node", "__body", "__key", "__label").repartition("__key").sortWithinPartitions("__key", "__node")
+
+    def run(batches):
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+        now, ids, texts, classes = None, [], [], []
+
+        def close():
+            found = _joins_of_list(texts, np.array(classes, np.int64), shingle_words, similarity) if texts else []
+            if found:
+                ends = np.sort(np.array(ids, np.int64)[np.array(found)], axis=1)
+                yield batch_of(schema, [pa.array(ends[:, 0]), pa.array(ends[:, 1])])
+
+        for b in batches:
+            for node, body, key, label in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if key != now:
+                    yield from close()
+                    now, ids, texts, classes = key, [], [], []
+                ids.append(node)
+                texts.append(body)
+                classes.append(label)
+        yield from close()
+
+    return lists.mapInArrow(run, "a long, b long").distinct()
 
 
 def sketch_lists(nodes: DataFrame) -> DataFrame:
@@ -305,62 +394,51 @@ def sketch_lists(nodes: DataFrame) -> DataFrame:
     return stored(shared.join(nodes.select("__node", "__sketch"), "__node"), "lists")
 
 
-def sketch_candidates(lists: DataFrame, similarity: float, least: int | None = None, below: int = LANES + 1) -> DataFrame:
+def sketch_candidates(lists: DataFrame, similarity: float) -> DataFrame:
     """Of sketch_lists: pairs a < b of nodes that share a list and whose sketches are near enough: the steps of a search through each
-    list, fewer than it has members. Of mixed_lists instead: all pairs of different classes, of so many equal bytes and below if least is
-    given. A list's members are compared in one task; copies have gone before.
+    list, fewer than it has members. A list's members are compared in one task; copies have gone before.
     """
-    least = least_equal(similarity) if least is None else least
-    label = F.col("__label") if "__label" in lists.columns else F.lit(None).cast("bigint")
-    lists = lists.select("__node", "__sketch", "__key", label.alias("__label")).repartition("__key").sortWithinPartitions("__key", "__node")
+    least = least_equal(similarity)
+    lists = lists.select("__node", "__sketch", "__key").repartition("__key").sortWithinPartitions("__key", "__node")
 
     def run(batches):
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-        now, ids, marks, classes = None, [], [], []
+        now, ids, marks = None, [], []
 
         def close():
-            if len(ids) < 2 or classes[0] is not None and len(set(classes)) == 1:
+            if len(ids) < 2:
                 return
             own = np.frombuffer(b"".join(marks), np.uint8).reshape(-1, LANES)
-            if classes[0] is None:
-                parent = _similar(own, least)
-                i = np.flatnonzero(parent != np.arange(len(own)))
-                found = [(i, parent[i])]
-            else:
-                found = _across(own, np.array(classes, np.int64), least, below)
-            nodes = np.array(ids, np.int64)
-            for i, j in found:
-                if len(i):
-                    yield batch_of(schema, [pa.array(np.minimum(nodes[i], nodes[j])), pa.array(np.maximum(nodes[i], nodes[j]))])
+            parent = _similar(own, least)
+            i = np.flatnonzero(parent != np.arange(len(own)))
+            if len(i):
+                nodes = np.array(ids, np.int64)
+                yield batch_of(schema, [pa.array(np.minimum(nodes[i], nodes[parent[i]])), pa.array(np.maximum(nodes[i], nodes[parent[i]]))])
 
         for b in batches:
-            for node, mark, key, label in zip(*(b.column(c).to_pylist() for c in range(4))):
+            for node, mark, key in zip(*(b.column(c).to_pylist() for c in range(3))):
                 if key != now:
                     yield from close()
-                    now, ids, marks, classes = key, [], [], []
+                    now, ids, marks = key, [], []
                 ids.append(node)
                 marks.append(mark)
-                classes.append(label)
         yield from close()
 
     return lists.mapInArrow(run, "a long, b long").distinct()
 
 
-def levels_of(similarity: float) -> list[int]:
-    """Equal bytes of two sketches from which pairs of different classes are checked, in turn: those likely to be similar first, as they spare
-    others the check. The last is what candidates have at least."""
-    likely, least = round(LANES * (similarity + (1 - similarity) / 256)), least_equal(similarity)
-    return sorted({likely, (likely + least) // 2, least}, reverse=True)
+def bodies_of(bodies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """__node and one __body of each of the nodes; of others too where the nodes are many."""
+    if (few := small(nodes.select(F.col("__node").alias("__asked")).distinct())) is not None:
+        bodies = bodies.join(few, F.col("__node") == F.col("__asked"), "left_semi")
+    return bodies.groupBy("__node").agg(F.first("__body").alias("__body"))
 
 
 def exact_links(candidates: DataFrame, bodies: DataFrame, shingle_words: int, similarity: float) -> DataFrame:
     """Of pairs a, b those whose sets of shingles have that Jaccard similarity or more. bodies: __node and __body, of a node any that
     it has."""
     candidates = stored(candidates, "candidates")
-    nodes = candidates.select(F.col("a").alias("__asked")).unionAll(candidates.select("b")).distinct()
-    if (few := small(nodes)) is not None:  # else texts without candidates go along
-        bodies = bodies.join(few, F.col("__node") == F.col("__asked"), "left_semi")
-    bodies = bodies.groupBy("__node").agg(F.first("__body").alias("__body"))
+    bodies = bodies_of(bodies, candidates.select(F.col("a").alias("__node")).unionAll(candidates.select("b")))
     of = lambda side: bodies.select(F.col("__node").alias(f"__{side}"), F.col("__body").alias(f"__body_{side}"))
     both = candidates.join(of("a"), F.col("a") == F.col("__a")).join(of("b"), F.col("b") == F.col("__b")).select("a", "b", "__body_a", "__body_b")
 
@@ -449,17 +527,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         lists = sketch_lists(nodes)
         edges = stored(exact_links(by_bits.unionByName(sketch_candidates(lists, similarity)).distinct(), bodies, shingle_words, similarity), "links")
         # A candidate that fails may have stood between texts that other pairs would link: of each list all pairs are checked that no links
-        # connect by then. A pair has its turn by its sketches alone, so none is left out as classes grow.
-        below = LANES + 1
-        for least_here in levels_of(similarity):
-            labels = components(edges).select(F.col("node").alias("__labelled"), F.col("root").alias("__label"))
-            lists = mixed_lists(lists, labels)
-            if lists.isEmpty():
-                break
-            more = exact_links(sketch_candidates(lists, similarity, least_here, below), bodies, shingle_words, similarity)
-            edges = stored(edges.unionByName(more), "links")
+        # connect by then.
+        labels = components(edges).select(F.col("node").alias("__labelled"), F.col("root").alias("__label"))
+        lists = mixed_lists(lists, labels)
+        if not lists.isEmpty():
+            edges = stored(edges.unionByName(joining_links(lists, bodies, shingle_words, similarity)), "links")
             released(df.sparkSession)
-            below = least_here
     firsts = fps.groupBy("__node").agg(F.min(id_col).alias("__first"))
     roots = components(edges).checkpoint()
     smallest = roots.join(firsts, roots.node == firsts["__node"]).groupBy("root").agg(F.min("__first").alias("__least"))

@@ -418,6 +418,61 @@ def test_near_duplicates_check_all_pairs_of_a_list(spark):
     assert got == label and len(set(label.values())) == 120
 
 
+def classes_of(sets, similarity=0.8):
+    label = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) and label[a] != label[b]:
+                x, y = sorted((label[a], label[b]))
+                label = {i: x if v == y else v for i, v in label.items()}
+    return label
+
+
+def test_near_duplicates_pass_on_no_pairs_of_a_large_group(spark, monkeypatch):
+    # All texts are near each other by their sketches, and most pairs are not similar.
+    rnd = random.Random(10)
+    base, n = words(rnd, 300), 150
+    texts = {}
+    for i in range(n):
+        own = list(base)
+        for at in rnd.sample(range(4, 296), 5):
+            own[at] = f"new{rnd.random()}"
+        texts[i] = " ".join(own)
+    rows, real = [], simhash.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        if name in ("candidates", "links"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "stored", counted)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle_words=5, similarity=0.8).collect()}
+    assert got == classes_of({i: {tuple(t.split()[k : k + 5]) for k in range(296)} for i, t in texts.items()})
+    assert len(set(got.values())) > n // 2 and sum(rows) < simhash.BANDS * n
+
+
+def test_joins_of_a_list_against_all_pairs(monkeypatch):
+    from zstandard import ZstdCompressor
+
+    rnd = random.Random(12)
+    for block in (10**6, 900, 1):
+        monkeypatch.setattr(simhash, "BLOCK_BYTES", block)
+        monkeypatch.setattr(simhash, "LOOKED_UP", 500)
+        for _ in range(8):
+            texts = ["", "one", "one two"]
+            for _ in range(4):
+                base = words(rnd, rnd.randint(5, 60), 40 if rnd.random() < 0.3 else 10**6)
+                texts += [" ".join(w if rnd.random() > 0.05 else f"n{rnd.randrange(9)}" for w in base[: rnd.randint(len(base) // 2, len(base))]) for _ in range(12)]
+            sets = {i: set(simhash.shingle_hashes(t, 2).tolist()) for i, t in enumerate(dict.fromkeys(texts))}
+            texts = list(dict.fromkeys(texts))
+            label = np.array([rnd.choice([i, i, 0]) for i in range(len(texts))])
+            before = label.copy()
+            found = simhash._joins_of_list([ZstdCompressor().compress(t.encode()) for t in texts], label, 2, 0.8)
+            assert all(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a, b in found) and len(found) == len(set(before)) - len(set(label))
+            assert all(label[a] == label[b] for a in sets for b in sets if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+
+
 def test_fingerprints_by_a_plain_reading():
     import xxhash
 
