@@ -349,6 +349,28 @@ def test_passages_within_a_text_and_of_repeated_rows(spark):
         assert {(1, 1)} <= got <= {(1, 1), (2, 2), (3, 2), (3, 3)} and got & {(3, 2)}
 
 
+def test_tasks_of_seeds_and_links_hold_little():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rnd = random.Random(19)
+    texts = [" ".join(words(rnd, 250)) for _ in range(1500)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 500)), pa.array(texts[a : a + 500])], names=["id", "text"]) for a in range(0, 1500, 500)]
+    tracemalloc.start()
+    try:
+        out = list(substring._seed_blocks(iter(batches), 4, 4, 24, 50, 0.8, 1))
+        seeds = tracemalloc.get_traced_memory()[1]
+        n = sum(len(unpack(b, substring._SEED_TYPES)[0]) for r in out for b in r.column(2).to_pylist())
+        tracemalloc.reset_peak()
+        held = tracemalloc.get_traced_memory()[0]
+        list(substring._link_blocks(iter(out * 4), 1))
+        links = tracemalloc.get_traced_memory()[1] - held
+    finally:
+        tracemalloc.stop()
+    assert n > 80_000 and seeds < 340 * n and links < 320 * 4 * n  # words as a list, and blocks in several copies, take 470 and 400 bytes a seed
+
+
 def share_found(spark, length, changed, seed):
     rnd = random.Random(seed)
     rows, n = [], 60
