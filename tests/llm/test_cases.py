@@ -318,6 +318,54 @@ def test_fenwick_against_all_values():
             entered.append((rank, x, value))
 
 
+@pytest.mark.parametrize("most", [0, 2, 32])
+def test_chains_by_diagonals_places_or_tree(monkeypatch, most):
+    monkeypatch.setattr(substring, "MOST_DIAGONALS", most)
+    rnd = random.Random(31)
+    for _ in range(60):
+        k, gap, cost = 4, 30, 0.0931
+        pairs = sorted({(x + d, y + d) for x, y in ((rnd.randrange(90), rnd.randrange(60)) for _ in range(6)) for d in range(0, 40, rnd.randint(1, 5))} | {(x, 7) for x in range(0, 60, 3)})
+        best = []
+        for i, (x, y) in enumerate(pairs):
+            value, j = max(((best[j] + cost * (p + q), j) for j, (p, q) in enumerate(pairs[:i]) if p < x and q < y and x - p <= gap + k and y - q <= gap + k), default=(-1e18, -1))
+            score = value - cost * (x + y)
+            best.append(score + min(k, x - pairs[j][0], y - pairs[j][1]) if score > 0 else float(k))
+        first = [pairs[c] for c in substring.chains_of([x for x, _ in pairs], [y for _, y in pairs], k, cost, gap)[0]]
+        score = k + sum(min(k, x - p, y - q) - cost * (x - p + y - q) for (p, q), (x, y) in zip(first, first[1:]))
+        assert abs(score - max(best)) < 1e-6
+
+
+def test_chains_of_repeated_lines_need_no_tree(monkeypatch):
+    entered = []
+    monkeypatch.setattr(substring.Fenwick, "enter", lambda *a: entered.append(a))
+    line = [(x, x) for x in range(0, 60, 3)]
+    pairs = sorted((x + 60 * n, y) for n in range(50) for x, y in line)
+    chains = substring.chains_of([x for x, _ in pairs], [y for _, y in pairs], 4)
+    assert [[pairs[c] for c in chain] for chain in sorted(chains)] == [[(x + 60 * n, y) for x, y in line] for n in range(50)]
+    run = [(x, 24 * (x // 70)) for x in range(2000)]  # a word again and again
+    substring.chains_of([x for x, _ in run], [y for _, y in run], 4)
+    assert not entered
+
+
+def test_seeds_of_texts_together():
+    rnd = random.Random(32)
+    texts = [" ".join(words(rnd, n)) for n in (0, 2, 3, 4, 27, 28, 60, 300)] + ["", " \t ", "A b-c\n" * 40, "x" * 5000 + " y z" * 60]
+    for some in (texts, texts[:-1]):  # with a word that is too long to be hashed with others, and without
+        w, counts = substring.hashes_within([t.encode().translate(decontam.FOLD) for t in some])
+        assert counts.tolist() == [len(decontam.words_of(t)) for t in some]
+        text, *found = substring.seeds_within(w, counts, 4, 4, 24)
+        for i, t in enumerate(some):
+            assert all((a[text == i] == b).all() and len(a[text == i]) == len(b) for a, b in zip(found, substring.seeds_of(decontam.words_of(t), 4, 4, 24)))
+
+
+def test_links_of_equal_stretches_are_thinned():
+    run = [(2, 1, x, x - 5) for x in range(10, 21)] + [(2, 1, x, x + 40) for x in range(12, 14)] + [(3, 1, 9, 9)]
+    columns = [np.array(c) for c in zip(*run)]
+    kept = [run[i] for i in substring._thinned(*columns, 4).tolist()]
+    assert kept == [(2, 1, x, x - 5) for x in (10, 14, 18, 20)] + [(2, 1, 12, 52), (2, 1, 13, 53), (3, 1, 9, 9)]
+    assert not len(substring._thinned(*(c[:0] for c in columns), 4))
+
+
 def test_hashes_of_words_stand_alone():
     rnd = random.Random(18)
     ws = [f"w{rnd.randrange(9000)}".encode() for _ in range(50_000)] + [b"x" * 300_000, b"y" * 300_000]
